@@ -81,26 +81,56 @@ def _sets(width):
     return run
 
 
+def overlaps(left: list, right: list, columns: int = 20_000) -> np.ndarray:
+    """Sizes of all intersections of the sets on both sides (arrays of distinct values)."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    va, vb = np.concatenate(left), np.concatenate(right)
+    common = np.intersect1d(va, vb)
+    if not len(common):
+        return out
+    ra, rb = np.repeat(np.arange(len(left)), [len(x) for x in left]), np.repeat(np.arange(len(right)), [len(x) for x in right])
+    ca, cb = np.searchsorted(common, va), np.searchsorted(common, vb)
+    ca[ca == len(common)] = 0
+    cb[cb == len(common)] = 0
+    ina, inb = common[ca] == va, common[cb] == vb
+    ra, ca, rb, cb = ra[ina], ca[ina], rb[inb], cb[inb]
+    for at in range(0, len(common), columns):
+        width = min(columns, len(common) - at)
+        ma, mb = np.zeros((len(left), width), np.float32), np.zeros((len(right), width), np.float32)
+        own = (ca >= at) & (ca < at + width)
+        ma[ra[own], ca[own] - at] = 1
+        own = (cb >= at) & (cb < at + width)
+        mb[rb[own], cb[own] - at] = 1
+        out += ma @ mb.T
+    return out
+
+
 def block_links(pdf: pd.DataFrame, percent: int, sketch: int) -> pd.DataFrame:
     """A spanning forest of the links between the documents of one block pair.
 
-    ``side`` 0 holds one block, 1 the other (2: a block against itself). Pairs already in
-    one component are skipped; estimates come from union sketches, links from full sets.
+    ``side`` 0 holds one block, 1 the other (2: a block against itself). Pairs already in one
+    component are skipped. A pair's shared sketch values bound what its union sketch shares,
+    so the estimate drops it early; links are confirmed on full sets.
     """
     pdf = pdf.drop_duplicates(["doc_id", "side"])
-    left = pdf if (pdf["side"] == 2).all() else pdf[pdf["side"] == 0]
-    right = pdf if (pdf["side"] == 2).all() else pdf[pdf["side"] == 1]
+    alone = (pdf["side"] == 2).all()
+    left = pdf if alone else pdf[pdf["side"] == 0]
+    right = pdf if alone else pdf[pdf["side"] == 1]
+    none = pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
     if left.empty or right.empty:
-        return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
+        return none
     na, nb = left["n"].to_numpy()[:, None], right["n"].to_numpy()[None, :]
-    open_ = (left["comp"].to_numpy()[:, None] != right["comp"].to_numpy()[None, :]) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
-    ia, ib = np.nonzero(open_)
-    sa, sb = left["shingles"].tolist(), right["shingles"].tolist()
-    if len(ia):
-        shared, union = _sketch_overlap([s[:sketch] for s in sa], [s[:sketch] for s in sb], ia, ib, sketch)
-        p = percent / 100
-        keep = shared >= np.maximum(1, np.floor(union * p - 6 * np.sqrt(union * p * (1 - p))))
-        ia, ib = ia[keep], ib[keep]
+    maybe = (left["comp"].to_numpy()[:, None] != right["comp"].to_numpy()[None, :]) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
+    sa, sb = left["shingles"].to_numpy(), right["shingles"].to_numpy()
+    shared = overlaps([x[:sketch] for x in sa], [x[:sketch] for x in sb])
+    union = np.minimum(sketch, np.minimum(na, sketch) + np.minimum(nb, sketch) - shared)
+    p = percent / 100
+    maybe &= shared >= np.maximum(1, np.floor(union * p - 6 * np.sqrt(union * p * (1 - p))))
+    rows, cols = np.nonzero(maybe.any(axis=1))[0], np.nonzero(maybe.any(axis=0))[0]
+    if not len(rows):
+        return none
+    both = overlaps([sa[i] for i in rows], [sb[j] for j in cols]).astype(np.int64)
+    linked = maybe[np.ix_(rows, cols)] & (100 * both >= percent * (na[rows] + nb[:, cols] - both))
     parent: dict = {}
 
     def find(x):
@@ -110,39 +140,16 @@ def block_links(pdf: pd.DataFrame, percent: int, sketch: int) -> pd.DataFrame:
         return x
 
     out = []
-    ida, idb = left["doc_id"].tolist(), right["doc_id"].tolist()
-    ca, cb = left["comp"].tolist(), right["comp"].tolist()
-    for i, j in zip(ia.tolist(), ib.tolist()):
+    ida, idb = left["doc_id"].to_numpy()[rows].tolist(), right["doc_id"].to_numpy()[cols].tolist()
+    ca, cb = left["comp"].to_numpy()[rows].tolist(), right["comp"].to_numpy()[cols].tolist()
+    for i, j in zip(*(x.tolist() for x in np.nonzero(linked))):
         ra, rb = find(ca[i]), find(cb[j])
-        if ra == rb:
-            continue
-        both = len(np.intersect1d(sa[i], sb[j], assume_unique=True))
-        if 100 * both >= percent * (len(sa[i]) + len(sb[j]) - both):
+        if ra != rb:
             parent[max(ra, rb)] = min(ra, rb)
             out.append((ida[i], idb[j]))
     return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
 
-def _sketch_overlap(sa, sb, ia, ib, size):
-    """For each pair: values shared within the bottom-``size`` of the union, and that sketch's size."""
-    values = np.unique(np.concatenate([*sa, *sb]))
-    ra, rb = [np.searchsorted(values, s) for s in sa], [np.searchsorted(values, s) for s in sb]
-    ma, mb = np.zeros((len(sa), len(values)), bool), np.zeros((len(sb), len(values)), bool)
-    for k, r in enumerate(ra):
-        ma[k, r] = True
-    for k, r in enumerate(rb):
-        mb[k, r] = True
-    shared, union = np.empty(len(ia), np.int64), np.empty(len(ia), np.int64)
-    step = max(1, 20_000_000 // max(1, len(values)))
-    for at in range(0, len(ia), step):
-        x, y = ma[ia[at : at + step]], mb[ib[at : at + step]]
-        rank = np.cumsum(x | y, axis=1, dtype=np.int32)
-        inside = rank <= size
-        shared[at : at + step] = (x & y & inside).sum(axis=1)
-        union[at : at + step] = np.minimum(rank[:, -1], size)
-    return shared, union
-
-
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, width: int = SHINGLE, sketch: int = SKETCH, listed: int = LISTED, block: int = BLOCK) -> DataFrame:
     """Rows ``(doc_id, n_shingles, component_id, kept)``, one for each row of ``docs``.
 
@@ -223,23 +230,31 @@ def _hub_links(prefix: DataFrame, reps: DataFrame, sets: DataFrame, percent: int
 
 
 def _block_links(prefix: DataFrame, stars: DataFrame, sets: DataFrame, percent: int, sketch: int, block: int) -> DataFrame:
-    """Links between different components of a list, block against block."""
+    """Links between different components of a list, block against block.
+
+    Lists with the same large component do their work together, once: its documents against
+    all documents of other components that share a list with it, and those among themselves.
+    """
     listed = prefix.join(stars.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("v", "doc_id", "n", F.coalesce("component", "doc_id").alias("comp"))
     listed = cut(listed, "listed")
     per = listed.groupBy("v", "comp").agg(F.count("*").alias("c"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("sig"))
-    lists = per.groupBy("v").agg(F.sum("c").alias("size"), F.count("*").alias("comps"), F.max("c").alias("main_n"), F.max_by("comp", F.struct("c", "comp")).alias("main"), F.sum("sig").alias("sig"))
-    # Lists with the same members do the same work once; a list of two was settled by its hub.
-    lists = lists.where("comps > 1 and size > 2").groupBy("size", "sig").agg(F.min_by(F.struct("v", "main", "main_n"), "v").alias("l")).select(F.col("l.v").alias("v"), F.col("l.main").alias("main"), F.col("l.main_n").alias("main_n"), (F.col("size") - F.col("l.main_n")).alias("rest_n"))
-    lists = cut(lists.select("v", "main", F.ceil(F.col("main_n") / block).cast("int").alias("mb"), F.ceil(F.col("rest_n") / block).cast("int").alias("rb")), "lists")
-    placed = listed.join(lists, "v").withColumn("is_main", F.col("comp") == F.col("main")).withColumn("at", F.when(F.col("is_main"), F.pmod(F.xxhash64("doc_id"), F.col("mb"))).otherwise(F.col("mb") + F.pmod(F.xxhash64("doc_id"), F.col("rb"))).cast("int"))
-    others = F.when(F.col("is_main"), F.sequence(F.col("mb"), F.col("mb") + F.col("rb") - 1)).otherwise(F.sequence(F.lit(0), F.col("mb") + F.col("rb") - 1))
+    lists = per.groupBy("v").agg(F.sum("c").alias("size"), F.count("*").alias("comps"), F.max(F.struct("c", "comp")).alias("top"), F.sum("sig").alias("sig"))
+    # A list of two was settled by its hub; of lists with the same members one is enough.
+    lists = lists.where("comps > 1 and size > 2").groupBy("size", "sig").agg(F.min_by(F.struct("v", "top"), "v").alias("l")).select("l.v", "l.top")
+    lists = cut(lists.select("v", F.col("top.comp").alias("main"), (F.col("top.c") >= 3).alias("large")), "lists")
+    placed = listed.join(lists, "v").select("large", F.when(F.col("large"), F.col("main")).otherwise(F.col("v")).alias("g"), "doc_id", "n", "comp", (F.col("comp") == F.col("main")).alias("is_main")).distinct()
+    placed = cut(placed, "placed")
+    blocks = cut(placed.groupBy("large", "g").agg(F.ceil(F.count_if("is_main") / block).cast("int").alias("mb"), F.ceil(F.count_if(~F.col("is_main")) / block).cast("int").alias("rb")), "blocks")
+    at = F.when(F.col("is_main"), F.pmod(F.xxhash64("doc_id"), F.col("mb"))).otherwise(F.col("mb") + F.pmod(F.xxhash64("doc_id"), F.col("rb"))).cast("int")
+    others = F.sequence(F.when(F.col("is_main"), F.col("mb")).otherwise(0), F.col("mb") + F.col("rb") - 1)
     rows = (
-        placed.select("v", "doc_id", "n", "comp", "at", F.explode(others).alias("o"))
-        .select("v", F.least("at", "o").alias("i"), F.greatest("at", "o").alias("j"), "doc_id", "n", "comp", F.when(F.col("at") == F.col("o"), 2).when(F.col("at") < F.col("o"), 0).otherwise(1).alias("side"))
+        placed.join(blocks, ["large", "g"])
+        .select("large", "g", "doc_id", "n", "comp", at.alias("at"), F.explode(others).alias("o"))
+        .select("large", "g", F.least("at", "o").alias("i"), F.greatest("at", "o").alias("j"), "doc_id", "n", "comp", F.when(F.col("at") == F.col("o"), 2).when(F.col("at") < F.col("o"), 0).otherwise(1).alias("side"))
         .join(sets, "doc_id")
     )
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         return block_links(pdf, percent, sketch)
 
-    return rows.groupBy("v", "i", "j").applyInPandas(kernel, "a long, b long").distinct()
+    return rows.groupBy("large", "g", "i", "j").applyInPandas(kernel, "a long, b long").distinct()
