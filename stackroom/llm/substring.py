@@ -95,7 +95,7 @@ def _apply(width, texts):
                 for a, b in spans:
                     keep[a:b] = False
                 kept = b" ".join(w for w, k in zip(words, keep.tolist()) if k) if spans else b" ".join(words)
-                rows.append((len(words), int(len(words) - keep.sum()), hashlib.sha256(kept).hexdigest(), np.array(spans, np.int64).ravel(), kept))
+                rows.append((len(words), int(len(words) - keep.sum()), hashlib.sha256(kept).hexdigest(), np.array(spans, np.int64).ravel(), kept if texts else None))
             cols = list(zip(*rows)) or [[]] * 5
             out = [batch.column(0).cast(pa.int64()), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), K.long_lists(list(cols[3]))]
             if texts:
