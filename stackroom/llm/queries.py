@@ -3,11 +3,53 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from stackroom.llm import minhash, substring
+from stackroom.llm import langid, linededup, minhash, mixing, packing, pqsearch, quality, secrets, substring, warc
 from stackroom.session import table
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: lines, lines removed, those with an equal earlier line, links of its lines, digest of what is kept."""
+    out = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped", "n_exact", "n_links", F.array_join(F.col("dropped").cast("array<string>"), ",").alias("dropped"), F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_single(table(spark, sf_dir, "documents"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    model = langid.fit(docs.where(~F.coalesce(held, F.lit(False))))
+    held_out = docs.select("doc_id", "text").withColumn("held_out", F.coalesce(held, F.lit(False)))
+    return langid.identify(held_out, model).withColumn("held_out", F.coalesce(held, F.lit(False))).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pqsearch.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages")))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "bundle", "frame", "frame_offset")
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return secrets.report(secrets.scan(docs, secrets.train(docs)))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring.remove_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
@@ -17,5 +59,6 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op9_substring_dedup, op10_minhash_near_dedup)}
+_ALL = (op1_line_dedup, op2_mix_sources, op3_language_id, op4_best_fit_packing, op5_embedding_near_dedup, op6_quality_rules, op7_warc, op8_secret_scan, op9_substring_dedup, op10_minhash_near_dedup)
+QUERIES = {f.__name__: f for f in _ALL}
 ORACLE: dict[str, str] = {}
