@@ -16,6 +16,8 @@ from __future__ import annotations
 import heapq
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -109,6 +111,29 @@ def min_cost_flow(patterns: list[tuple[tuple[int, ...], int]], quotas: list[int]
     return flows
 
 
+def _fill(cap: int):
+    """In rank order, take every document of the cut slice that still fits, and one more if that comes nearer."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["rank", "size"], kind="mergesort")
+        room = int(pdf["room"].iloc[0])
+        alike = pdf.groupby(["rank", "size"], sort=False).ngroup().to_numpy()  # repeated rows go together
+        needs = np.bincount(alike, weights=pdf["size"]).astype(np.int64).tolist()
+        took = np.zeros(len(needs), np.int64)
+        for k, need in enumerate(needs):
+            if need <= room:
+                took[k] = 1
+                room -= need
+        left = [k for k in range(len(needs)) if not took[k]]
+        best = min(left, key=lambda k: needs[k], default=None)
+        if best is not None and needs[best] - room < room:
+            took[best] = 1
+        pdf["taken"] = pdf["size"] * np.minimum(pdf["whole"] + took[alike], cap)
+        return pdf[["id", "pattern", "size", "taken"]]
+
+    return run
+
+
 def mix(docs: DataFrame, *, id_col: str = "doc_id", sources_col: str = "sources", size_col: str = "size", seed: int = 17, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: int = 2, max_patterns: int = 10_000) -> tuple[DataFrame, DataFrame]:
     """``(documents, sources)`` of the mix.
 
@@ -154,19 +179,13 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", sources_col: str = "sources"
     before = F.coalesce(F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     cutting = cut(slices.withColumn("before", before).where("before <= rest and before + tokens > rest").select("pattern", F.col("slice").alias("at"), "before"), "cutting")
     # Only the slice that a quota cuts is ordered: about SLICE_ROWS documents of each pattern.
-    in_cut = ranked.join(F.broadcast(cutting), "pattern", "left")
-    inside = Window.partitionBy("pattern").orderBy("rank", "size")
-    edge = (
-        in_cut.where("slice = at")
-        .withColumn("upto", F.col("before") + F.sum("size").over(inside))
-        .where(F.col("upto") - F.col("size") / 2 <= F.col("rest"))
-        .groupBy("pattern")
-        .agg(F.max(F.struct("rank", "size")).alias("last"))
-    )
-    edge = cut(edge, "edge")
-    taken_once = (F.col("slice") < F.col("at")) | ((F.col("slice") == F.col("at")) & F.coalesce(F.struct("rank", "size") <= F.col("last"), F.lit(False)))
-    extra = in_cut.select("id", "pattern", "size", "whole", "rank", "slice", "at").join(F.broadcast(edge), "pattern", "left")
-    chosen = extra.select("id", "pattern", "size", (F.col("size") * F.least(F.col("whole") + F.when(taken_once, 1).otherwise(0), F.lit(cap))).alias("taken"))
+    placed = ranked.join(F.broadcast(cutting), "pattern", "left")
+    at_cut = F.coalesce(F.col("slice") == F.col("at"), F.lit(False))
+    once = F.coalesce(F.col("slice") < F.col("at"), F.lit(False)).cast("long")
+    clear = placed.where(~at_cut).select("id", "pattern", "size", (F.col("size") * F.least(F.col("whole") + once, F.lit(cap))).alias("taken"))
+    kinds = f"id {dict(sized.dtypes)['id']}, pattern string, size long, taken long"
+    edge = placed.where(at_cut).select("id", "pattern", "size", "whole", "rank", (F.col("rest") - F.col("before")).alias("room")).groupBy("pattern").applyInPandas(_fill(cap), kinds)
+    chosen = clear.unionByName(edge)
     return chosen, sources
 
 
