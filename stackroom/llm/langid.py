@@ -102,8 +102,8 @@ def _vectors(dims):
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
                 counts = [counts_of(t, dims) for t in K.raw(part.column(2))]
-                packed = [np.concatenate((np.nonzero(c)[0], c[np.nonzero(c)[0]].astype(np.int64))) for c in counts]
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.string()), part.column(1), K.long_lists(packed)], names=["lang", "key", "packed"])
+                packed = [c.astype(np.float32).tobytes() for c in counts]
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.string()), part.column(1), pa.array(packed, pa.binary())], names=["lang", "key", "packed"])
 
     return run
 
@@ -115,16 +115,13 @@ def fit(labelled: DataFrame, *, dims: int = DIMS, per_language: int = PER_LANGUA
     """
     usable = labelled.where(F.col("lang").isNotNull())
     rows = sample_by_class(usable, "lang", F.xxhash64(F.lit(seed), F.col("doc_id")), per_language, max_rows)
-    rows = rows.where(_has_letter()).select("lang", "key", "text").mapInArrow(_vectors(dims), "lang string, key long, packed array<long>").collect()
-    rows.sort(key=lambda r: (r["lang"], r["key"], r["packed"]))
+    rows = rows.where(_has_letter()).select("lang", "key", "text").mapInArrow(_vectors(dims), "lang string, key long, packed binary").collect()
+    rows.sort(key=lambda r: (r["lang"], r["key"], bytes(r["packed"])))
     langs = [r["lang"] for r in rows]
     rows = [r for i, r in enumerate(rows) if i < per_language or langs[i - per_language] != langs[i]]
     if not rows:
         return None
-    vectors = np.zeros((len(rows), dims))
-    for i, r in enumerate(rows):
-        p = np.array(r["packed"], np.int64)
-        vectors[i, p[: len(p) // 2]] = p[len(p) // 2 :]
+    vectors = np.array([np.frombuffer(r["packed"], np.float32) for r in rows], np.float64)
     return Model(np.log1p(vectors), [r["lang"] for r in rows], centroids, reject)
 
 
