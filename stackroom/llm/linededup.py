@@ -5,8 +5,11 @@ of the shorter one's ``threshold + 1`` segments, at nearly the same place. Every
 enters an index of its segments, keyed by length, segment number and content; it probes the
 index for each length up to ``threshold`` shorter with the few substrings whose place agrees
 with the edits that may lie left and right of the segment (multi-match-aware windows of the
-pass-join method). Counts of eight frequent letters travel along, so that the join itself
-drops pairs whose letters differ too much.
+pass-join method). Segments are cut from the UTF-32 form, where a place is an offset.
+
+Keys that many lines share (families of copies with a changed word or two) would give as
+many candidates as the family has pairs. Rows of such keys carry their line, and the join
+itself drops pairs too far apart; no pair is dropped otherwise.
 
 Candidates lose their common prefix and suffix; what is left must agree on one of
 ``threshold - 1`` inner pieces, and is verified by a banded bit-parallel edit distance: each
@@ -21,65 +24,63 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stackroom.session import cut
+from stackroom.session import cut, release
 
 THRESHOLD = 2
 MIN_CHARS = 24
-#: Letters whose counts travel with a line, eight bits each.
-LETTERS = "enrtiaos"
+#: A key of so many lines or more is hot.
+HOT = 16
 
 
 def split_lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def signature(line: Column) -> Column:
-    """Counts of eight letters, modulo 256, in one long."""
-    count = lambda c: (F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))).cast("long") % 256
-    return reduce(lambda a, b: a.bitwiseOR(b), (F.shiftleft(count(c), 8 * i) for i, c in enumerate(LETTERS)))
+def _segment(n: Column, i: Column | int, parts: int) -> tuple[Column, Column]:
+    """Start (from 0) and length of segment ``i`` of a line of ``n`` characters."""
+    i = F.lit(i) if isinstance(i, int) else i
+    start = F.floor(n * i / parts).cast("int")
+    return start, F.floor(n * (i + 1) / parts).cast("int") - start
 
 
-def letters_apart(a: str, b: str) -> Column:
-    """Sum of the differences of the letter counts; an edit adds at most 2."""
+def _key(n: Column, i: Column, content: Column) -> Column:
+    return F.xxhash64(n.cast("int"), i, content)
 
-    def one(i):
-        d = F.abs(F.shiftrightunsigned(a, 8 * i).bitwiseAND(F.lit(255)) - F.shiftrightunsigned(b, 8 * i).bitwiseAND(F.lit(255)))
-        return F.least(d, 256 - d)
 
-    return reduce(lambda x, y: x + y, (one(i) for i in range(len(LETTERS))))
+def _content(wide: Column, start: Column, size: Column) -> Column:
+    return F.substring(wide, start * 4 + 1, size * 4)
 
 
-def _segment(n: Column, i: int, parts: int) -> tuple[Column, Column]:
-    """Start (from 0) and length of segment ``i`` of a line of ``n`` characters."""
-    start = F.floor(n * i / parts).cast("int")
-    return start, F.floor(n * (i + 1) / parts).cast("int") - start
-
-
-def _key(n: Column, i: int, content: Column) -> Column:
-    return F.xxhash64(n.cast("int"), F.lit(i), content)
+# One exploded row for each segment or window, with one key expression: a wide array of key
+# expressions would be a method too long for the JIT compiler.
 
 
-def index_keys(line: Column, n: Column, threshold: int) -> Column:
-    keys = []
-    for i in range(threshold + 1):
-        start, size = _segment(n, i, threshold + 1)
-        keys.append(_key(n, i, F.substring(line, start + 1, size)))
-    return F.array(*keys)
+def index_keys(lines: DataFrame, threshold: int) -> DataFrame:
+    """``lines`` (n, wide = UTF-32 form, ...) with a column ``key`` for each of the line's segments."""
+    rows = lines.withColumn("i", F.explode(F.array(*(F.lit(i) for i in range(threshold + 1)))))
+    start, size = _segment(F.col("n"), F.col("i"), threshold + 1)
+    return rows.withColumn("key", _key(F.col("n"), F.col("i"), _content(F.col("wide"), start, size))).drop("i", "wide", "n")
 
 
-def probe_keys(line: Column, n: Column, threshold: int) -> Column:
-    """Structs ``(key, shorter)``: substrings that an indexed line of ``shorter`` characters less may share."""
+def windows(threshold: int) -> list[tuple[int, int, int]]:
+    """``(shorter, segment, shift)``: where a line may hold a segment of one that is ``shorter`` characters less."""
     out = []
     for less in range(threshold + 1):
-        target = n - less
         for i in range(threshold + 1):
-            start, size = _segment(target, i, threshold + 1)
             low, high = max(-i, less - (threshold - i)), min(i, less + (threshold - i))
-            for shift in range(low, high + 1):
-                at = start + shift
-                fits = (at >= 0) & (at + size <= n) & (target >= threshold + 1)
-                out.append(F.when(fits, F.struct(_key(target, i, F.substring(line, at + 1, size)).alias("key"), F.lit(less).alias("shorter"))))
-    return F.array_compact(F.array(*out))
+            out += [(less, i, shift) for shift in range(low, high + 1)]
+    return out
+
+
+def probe_keys(lines: DataFrame, threshold: int) -> DataFrame:
+    """``lines`` with ``key`` and ``shorter`` for each window that a segment of an indexed line may fill."""
+    places = F.array(*(F.struct(F.lit(less).alias("less"), F.lit(i).alias("i"), F.lit(shift).alias("shift")) for less, i, shift in windows(threshold)))
+    rows = lines.withColumn("w", F.explode(places))
+    n, target, i = F.col("n"), F.col("n") - F.col("w.less"), F.col("w.i")
+    start, size = _segment(target, i, threshold + 1)
+    at = start + F.col("w.shift")
+    fits = (target >= threshold + 1) & (at >= 0) & (at + size <= n)
+    return rows.where(fits).withColumn("key", _key(target, i, _content(F.col("wide"), at, size))).withColumn("shorter", F.col("w.less")).drop("w", "wide", "n")
 
 
 def common_prefix(a: Column, b: Column) -> Column:
@@ -172,23 +173,26 @@ def line_classes(docs: DataFrame, threshold: int, min_chars: int) -> tuple[DataF
 
 def edit_links(classes: DataFrame, threshold: int) -> DataFrame:
     """Links ``(h, g, h2, g2, doc2, no2)`` between different classes within ``threshold`` edits, both ways."""
-    line, n = F.col("line"), F.col("n")
-    base = classes.select("h", "n", "line", signature(line).alias("sig"))
-    index = base.select("h", "sig", F.explode(index_keys(line, n, threshold)).alias("key"))
-    probe = base.select(F.col("h").alias("h2"), F.col("sig").alias("sig2"), F.explode(probe_keys(line, n, threshold)).alias("p")).select("h2", "sig2", "p.key", "p.shorter")
-    near = letters_apart("sig", "sig2") <= 2 * threshold
+    base = classes.select("h", "n", "line", F.encode("line", "UTF-32").alias("wide"))
+    index = index_keys(base, threshold)
+    probe = probe_keys(base.withColumnRenamed("h", "h2"), threshold)
+    hot = cut(index.groupBy("key").agg(F.count("*").alias("lines")).where(F.col("lines") >= HOT).select("key", F.lit(True).alias("hot")), "hot")
+    marked = lambda rows, name: rows.join(hot, "key", "left").withColumn(name, F.when(F.col("hot"), F.col("line"))).drop("hot", "line")
     different = (F.col("h") < F.col("h2")) | ((F.col("h") != F.col("h2")) & (F.col("shorter") > 0))
-    pairs = cut(index.join(probe, "key").where(different & near).select(F.least("h", "h2").alias("ha"), F.greatest("h", "h2").alias("hb")).distinct(), "pairs")
+    near = F.col("ta").isNull() | (F.levenshtein("ta", "tb", threshold) >= 0)
+    met = marked(index, "ta").join(marked(probe, "tb"), "key").where(different & near)
+    pairs = cut(met.select(F.least("h", "h2").alias("ha"), F.greatest("h", "h2").alias("hb")).distinct(), "pairs")
+    release(classes.sparkSession)
     side = lambda s: classes.select(*(F.col(c).alias(c + s) for c in ("h", "g", "n", "line", "doc", "no")))
     both = pairs.join(side("a"), "ha").join(side("b"), "hb")
-    pre = common_prefix(F.col("linea"), F.col("lineb"))
-    cores = both.withColumn("pre", pre)
+    cores = both.withColumn("pre", common_prefix(F.col("linea"), F.col("lineb")))
     cores = cores.withColumn("ra", F.reverse(F.col("linea").substr(F.col("pre") + 1, F.col("na")))).withColumn("rb", F.reverse(F.col("lineb").substr(F.col("pre") + 1, F.col("nb"))))
     cores = cores.withColumn("suf", common_prefix(F.col("ra"), F.col("rb")))
     cores = cores.withColumn("ca", F.col("ra").substr(F.col("suf") + 1, F.col("na"))).withColumn("cb", F.col("rb").substr(F.col("suf") + 1, F.col("nb")))
-    true = cores.where(within(F.col("ca"), F.col("cb"), threshold))
+    # Written out, so that the test below reads the cores instead of deriving them for each use.
+    cores = cut(cores.select("ha", "ga", "doca", "noa", "hb", "gb", "docb", "nob", "ca", "cb"), "cores")
+    true = cut(cores.where(within(F.col("ca"), F.col("cb"), threshold)).drop("ca", "cb"), "links")
     one = lambda a, b: true.select(F.col(f"h{a}").alias("h"), F.col(f"g{a}").alias("g"), F.col(f"h{b}").alias("h2"), F.col(f"g{b}").alias("g2"), F.col(f"doc{b}").alias("doc2"), F.col(f"no{b}").alias("no2"))
-    true = cut(true.select("ha", "ga", "doca", "noa", "hb", "gb", "docb", "nob"), "links")
     return one("a", "b").unionByName(one("b", "a"))
 
 
@@ -202,6 +206,7 @@ def removals(docs: DataFrame, *, threshold: int = THRESHOLD, min_chars: int = MI
     occurrences, classes = line_classes(docs, threshold, min_chars)
     links = edit_links(classes, threshold).groupBy("h", "g").agg(F.count("*").alias("links"), F.min(F.struct(F.col("doc2").alias("doc"), F.col("no2").alias("no"))).alias("other"))
     info = classes.select("h", "g", F.struct("doc", "no").alias("own"), "occurrences").join(links, ["h", "g"], "left").where("occurrences > 1 or links > 0")
+    release(docs.sparkSession)
     info = cut(info.select("h", "g", "own", F.least("own", "other").alias("first"), F.coalesce("links", F.lit(0)).alias("links")), "repeats")
     found = occurrences.join(info, ["h", "g"]).withColumn("me", F.struct(F.col("doc_id").alias("doc"), "no"))
     return found.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.when(F.col("me") > F.col("first"), F.col("no")))).alias("dropped"), F.count_if(F.col("me") > F.col("own")).alias("n_exact"), F.sum("links").alias("n_links"))
