@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -84,6 +85,12 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver notice that finished jobs' shuffle files are garbage, so that the cleaner removes them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop_scratch(spark: SparkSession, df: DataFrame) -> None:
     """Delete a table made by :func:`cut` that nothing needs any more."""
     marker = f"/stackroom-{spark.sparkContext.applicationId}/"
