@@ -24,7 +24,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stackroom.session import cut, release
+from stackroom.session import bloom_joins, cut, release
 
 THRESHOLD = 2
 MIN_CHARS = 24
@@ -183,7 +183,11 @@ def edit_links(classes: DataFrame, threshold: int) -> DataFrame:
     met = marked(index, "ta").join(marked(probe, "tb"), "key").where(different & near)
     pairs = cut(met.select(F.least("h", "h2").alias("ha"), F.greatest("h", "h2").alias("hb")).distinct(), "pairs")
     release(classes.sparkSession)
-    side = lambda s: classes.select(*(F.col(c).alias(c + s) for c in ("h", "g", "n", "line", "doc", "no")))
+    # Few lines are candidates: only their texts are shuffled. ("one" gives the planner a filter to see.)
+    ids = cut(pairs.select(F.explode(F.array("ha", "hb")).alias("h")).distinct().withColumn("one", F.lit(1)), "candidates")
+    with bloom_joins(classes.sparkSession):
+        texts = cut(classes.join(ids.where("one = 1").select("h"), "h").select("h", "g", "n", "line", "doc", "no"), "texts")
+    side = lambda s: texts.select(*(F.col(c).alias(c + s) for c in texts.columns))
     both = pairs.join(side("a"), "ha").join(side("b"), "hb")
     cores = both.withColumn("pre", common_prefix(F.col("linea"), F.col("lineb")))
     cores = cores.withColumn("ra", F.reverse(F.col("linea").substr(F.col("pre") + 1, F.col("na")))).withColumn("rb", F.reverse(F.col("lineb").substr(F.col("pre") + 1, F.col("nb"))))
@@ -204,6 +208,7 @@ def removals(docs: DataFrame, *, threshold: int = THRESHOLD, min_chars: int = MI
     document's lines to other lines.
     """
     occurrences, classes = line_classes(docs, threshold, min_chars)
+    release(docs.sparkSession)
     links = edit_links(classes, threshold).groupBy("h", "g").agg(F.count("*").alias("links"), F.min(F.struct(F.col("doc2").alias("doc"), F.col("no2").alias("no"))).alias("other"))
     info = classes.select("h", "g", F.struct("doc", "no").alias("own"), "occurrences").join(links, ["h", "g"], "left").where("occurrences > 1 or links > 0")
     release(docs.sparkSession)
