@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import os
 import tempfile
@@ -85,6 +86,28 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def bloom_joins(spark: SparkSession):
+    """While it lasts, joins planned with a small filtered side filter the other side's scan.
+
+    Spark's own runtime Bloom filters, whose size is bounded, with thresholds that let them
+    serve inputs of any size; they only drop rows that the join would drop.
+    """
+    prefix = "spark.sql.optimizer.runtime.bloomFilter."
+    want = {prefix + "enabled": "true", prefix + "applicationSideScanSizeThreshold": "1b", prefix + "creationSideThreshold": "64g"}
+    before = {k: spark.conf.get(k, None) for k in want}
+    try:
+        for k, v in want.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
 def release(spark: SparkSession) -> None:
     """Let the driver notice that finished jobs' shuffle files are garbage, so that the cleaner removes them."""
     gc.collect()
