@@ -24,7 +24,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stackroom.session import bloom_joins, cut, release
+from stackroom.session import bloom_joins, cut, drop_scratch, release
 
 THRESHOLD = 2
 MIN_CHARS = 24
@@ -214,7 +214,10 @@ def removals(docs: DataFrame, *, threshold: int = THRESHOLD, min_chars: int = MI
     release(docs.sparkSession)
     info = cut(info.select("h", "g", "own", F.least("own", "other").alias("first"), F.coalesce("links", F.lit(0)).alias("links")), "repeats")
     found = occurrences.join(info, ["h", "g"]).withColumn("me", F.struct(F.col("doc_id").alias("doc"), "no"))
-    return found.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.when(F.col("me") > F.col("first"), F.col("no")))).alias("dropped"), F.count_if(F.col("me") > F.col("own")).alias("n_exact"), F.sum("links").alias("n_links"))
+    out = found.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.when(F.col("me") > F.col("first"), F.col("no")))).alias("dropped"), F.count_if(F.col("me") > F.col("own")).alias("n_exact"), F.sum("links").alias("n_links"))
+    out = cut(out, "dropped")
+    drop_scratch(docs.sparkSession, classes)
+    return out
 
 
 def _kept_lines(dropped: str) -> Column:
@@ -232,12 +235,13 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     column named like one of the five new ones is replaced. An empty table stays empty.
     """
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    gone = cut(removals(base, threshold=threshold, min_chars=min_chars), "dropped").withColumnRenamed("doc_id", "__id")
+    gone = removals(base, threshold=threshold, min_chars=min_chars).withColumnRenamed("doc_id", "__id")
     new = ["n_lines", "n_dropped", "n_exact", "n_links", "dropped"]
     kept = docs.drop(*new)
     names = [c for c in kept.columns]
     wide = kept.withColumnRenamed(text_col, "text") if text_col != "text" else kept
-    joined = wide.join(gone, wide[id_col] == gone["__id"], "left").drop("__id")
+    # Merged at any size: whether the ids would fit a broadcast depends on the input, what is shuffled should not.
+    joined = wide.join(gone.hint("merge"), wide[id_col] == gone["__id"], "left").drop("__id")
     none = F.array().cast("array<int>")
     out = joined.withColumn("dropped", F.coalesce("dropped", none))
     out = out.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(split_lines(F.col("text")))).cast("long"))
