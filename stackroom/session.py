@@ -6,6 +6,7 @@ import contextlib
 import gc
 import os
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -110,8 +111,10 @@ def bloom_joins(spark: SparkSession):
 
 def release(spark: SparkSession) -> None:
     """Let the driver notice that finished jobs' shuffle files are garbage, so that the cleaner removes them."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the scheduler drops its own references a moment after a job ends
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def drop_scratch(spark: SparkSession, df: DataFrame) -> None:
