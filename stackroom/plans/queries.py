@@ -454,11 +454,11 @@ def edge_dedupe(spark, sf):
 
 def _families(spark, sf):
     exact = C.exact_family_edges(W.hashes(spark, sf).select(c("file_id").alias("id"), c("sha256").alias("exact_hash")))
-    sem = C.embedding_edges(W.vectors(spark, sf).where("model = 'm0'").select(c("file_id").alias("id"), "model", "vector"), threshold=0.45)
-    return C.clusters(exact.unionByName(sem))
+    sem = C.embedding_edges(W.vectors(spark, sf).where("model = 'm0'").select(c("file_id").alias("id"), "model", "vector"), threshold=0.40)
+    return C.clusters(exact.unionByName(sem), min_score=0.40)
 
 
-_COMP = f""", {_SEM}, e AS (SELECT 'nearDuplicate' AS relation, a, b, 1.0::double AS score, 'exactHash' AS signal FROM (SELECT min(file_id) OVER (PARTITION BY sha256) AS a, file_id AS b FROM hashes) WHERE a<>b UNION ALL SELECT 'semantic', a, b, score, 'embedding:m0' FROM sem WHERE model='m0' AND score >= 0.45),
+_COMP = f""", {_SEM}, e AS (SELECT 'nearDuplicate' AS relation, a, b, 1.0::double AS score, 'exactHash' AS signal FROM (SELECT min(file_id) OVER (PARTITION BY sha256) AS a, file_id AS b FROM hashes) WHERE a<>b UNION ALL SELECT 'semantic', a, b, score, 'embedding:m0' FROM sem WHERE model='m0' AND score >= 0.40),
  sym AS (SELECT relation, a, b FROM e UNION SELECT relation, b, a FROM e),
  reach(relation, a, b) AS (SELECT relation, a, b FROM sym UNION SELECT r.relation, r.a, s.b FROM reach r JOIN sym s ON s.relation=r.relation AND s.a=r.b),
  comp AS (SELECT relation, a AS node, least(a, min(b)) AS root FROM reach GROUP BY relation, a)"""
