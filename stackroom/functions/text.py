@@ -68,17 +68,25 @@ def flatten_newlines(text: Column) -> Column:
     return F.replace(text, F.lit("\n"), F.lit(" "))
 
 
-TRIM = r"^\s+|\s+$"
+def trimmed(text: Column) -> Column:
+    return F.btrim(text, F.lit(" \t\n\x0b\f\r"))
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once: inside a lambda, expressions are not shared."""
+    return F.transform(F.array(value), body)[0]
 
 
 def chunks(text: Column, size: int = 900, overlap: int = 120) -> Column:
     """Overlapping pieces of trimmed text, trimmed themselves; the first to reach the end is the last."""
-    body = F.regexp_replace(text, TRIM, "")
     step = size - overlap
-    n = F.length(body)
-    count = F.when(n <= size, 1).otherwise(F.ceil((n - size) / step).cast("int") + 1)
-    parts = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.regexp_replace(body.substr(i * step + 1, F.lit(size)), TRIM, ""))
-    return F.filter(parts, lambda p: p != "")
+
+    def cut(body):
+        n = F.length(body)
+        count = F.when(n <= size, 1).otherwise(F.ceil((n - size) / step).cast("int") + 1)
+        return F.transform(F.sequence(F.lit(0), count - 1), lambda i: trimmed(body.substr(i * step + 1, F.lit(size))))
+
+    return F.filter(let(trimmed(text), cut), lambda p: p != "")
 
 
 # Fixed values of the compaction router.
@@ -97,14 +105,14 @@ PRIMARY, HEAD, TAIL, DECLARATION_LINE, DECLARATION_BLOCK, PROSE_CHUNKS = 4000, 2
 def compaction_strategy(path: Column, text: Column) -> Column:
     """``skip``, ``source`` or ``prose``."""
     name, ext = F.lower(basename(path)), F.lower(extension(path))
-    blank = F.coalesce(F.regexp_replace(text, TRIM, ""), F.lit("")) == ""
+    blank = F.coalesce(trimmed(text), F.lit("")) == ""
     skip = blank | name.isin(*SKIP_NAMES) | (ext == "map") | name.endswith(".min.js") | name.endswith(".min.css")
     return F.when(skip, "skip").when(ext.isin(*SOURCE_EXTENSIONS) | name.isin(*SOURCE_NAMES), "source").otherwise("prose")
 
 
 def source_capsule(path: Column, text: Column) -> Column:
     """File name, head, declarations and tail of source text, at most 4000 characters."""
-    body = F.regexp_replace(text, TRIM, "")
+    body = trimmed(text)
     starts = lambda line: reduce(lambda a, b: a | b, (F.startswith(F.lower(line), F.lit(p)) for p in DECLARATIONS))
     lines = F.transform(F.filter(F.transform(F.split(body, "\n"), F.trim), starts), lambda x: F.substring(x, 1, DECLARATION_LINE))
     empty = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("used"), F.lit(True).alias("open"))
@@ -123,7 +131,7 @@ def source_capsule(path: Column, text: Column) -> Column:
 def compacted(path: Column, text: Column) -> Column:
     """Struct ``(strategy, primary, chunks)``."""
     strategy = compaction_strategy(path, text)
-    body = F.regexp_replace(text, TRIM, "")
+    body = trimmed(text)
     primary = F.when(strategy == "source", source_capsule(path, text)).when(strategy == "prose", F.substring(body, 1, PRIMARY))
     parts = F.when(strategy == "prose", F.slice(chunks(text), 1, PROSE_CHUNKS)).otherwise(F.array().cast("array<string>"))
     return F.struct(strategy.alias("strategy"), primary.alias("primary"), parts.alias("chunks"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -54,33 +56,56 @@ def feature_edges(nodes: DataFrame, *, threshold: float = 0.50, scorer: Callable
     return pairs.select("a", "b", scorer(F.col("xa"), F.col("xb")).cast("double").alias("score")).where(F.col("score") >= threshold).select("a", "b", "score", *_edge(NEAR, "featurePrint"))
 
 
-def embedding_edges(vectors: DataFrame, *, threshold: float = 0.75, exclude: tuple[str, ...] = ("dinov3",), changed: DataFrame | None = None, blocks: int = 16) -> DataFrame:
-    """Edges between vectors ``(id, model, vector)`` of one model space (exact, all pairs, in blocks)."""
-    usable = vectors.where(~F.col("model").isin(*exclude)).select("id", F.col("vector").alias("x"), "model")
-    pairs = _pairs(usable, changed, blocks, ["model"])
-    return pairs.select("a", "b", "model", V.cosine_unit(F.col("xa"), F.col("xb")).alias("score")).where(F.col("score") >= threshold).select("a", "b", "score", *_edge(SEMANTIC, F.concat(F.lit("embedding:"), F.col("model"))))
+def embedding_edges(vectors: DataFrame, *, threshold: float = 0.75, exclude: tuple[str, ...] = ("dinov3",), changed: DataFrame | None = None, block: int = 1024) -> DataFrame:
+    """Edges between unit vectors ``(id, model, vector)`` of one model space: exact, all pairs.
 
+    Vectors are dealt into blocks of about ``block`` rows; a pair of blocks is one matrix product
+    in double precision, and only pairs at the threshold leave it. Empty and non-finite vectors
+    and pairs of unequal size have no edge.
+    """
+    usable = vectors.where(~F.col("model").isin(*exclude) & (F.size("vector") > 0) & V.finite(F.col("vector"))).select("id", "model", F.size("vector").alias("dim"), "vector")
+    key = ["model", "dim"]
 
-def _pairs(nodes: DataFrame, changed: DataFrame | None, blocks: int, keys: list[str] | None = None) -> DataFrame:
-    """Pairs a < b of nodes, or of changed nodes with all others, by an equi-join on block pairs.
+    def dealt(rows: DataFrame, name: str) -> DataFrame:
+        n = rows.groupBy(*key).agg(F.ceil(F.count("*") / block).cast("int").alias("n"))
+        return rows.join(n, key).withColumn(name, F.pmod(F.xxhash64("id"), F.col("n")).cast("int")).withColumnRenamed("n", f"n{name}")
 
-    Each node goes to ``blocks`` of the block pairs, so every pair meets exactly once, in a
-    task that holds 2 / blocks of the rows: no broadcast and no cross join.
-    """
-    keys = keys or []
-    own = nodes.withColumn("k", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    all_ = F.sequence(F.lit(0), F.lit(blocks - 1))
+    own = dealt(usable, "k")
+    to = lambda rows, i, j, side: rows.select(*key, i.alias("i"), j.alias("j"), F.lit(side).alias("side"), "id", "vector")
+    last = F.col("nk") - 1
     if changed is None:
-        left = own.withColumn("o", F.explode(F.sequence(F.col("k"), F.lit(blocks - 1)))).select(*keys, F.col("k").alias("i"), F.col("o").alias("j"), F.col("id").alias("a0"), F.col("x").alias("x0"))
-        right = own.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k")))).select(*keys, F.col("o").alias("i"), F.col("k").alias("j"), F.col("id").alias("b0"), F.col("x").alias("x1"))
-        met = left.join(right, [*keys, "i", "j"]).where("(i < j) or (a0 < b0)")
+        left = to(own.withColumn("o", F.explode(F.sequence(F.col("k"), last))), F.col("k"), F.col("o"), 0)
+        right = to(own.where("k > 0").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1))), F.col("o"), F.col("k"), 1)
     else:
-        fresh = own.join(changed.select("id"), "id", "left_semi")
-        left = fresh.withColumn("j", F.explode(all_)).select(*keys, "j", F.col("id").alias("a0"), F.col("x").alias("x0"))
-        right = own.select(*keys, F.col("k").alias("j"), F.col("id").alias("b0"), F.col("x").alias("x1"))
-        met = left.join(right, [*keys, "j"]).where("a0 <> b0")
-    swap = F.col("a0") > F.col("b0")
-    return met.select(*keys, F.least("a0", "b0").alias("a"), F.greatest("a0", "b0").alias("b"), F.when(swap, F.col("x1")).otherwise(F.col("x0")).alias("xa"), F.when(swap, F.col("x0")).otherwise(F.col("x1")).alias("xb"))
+        fresh = dealt(usable.join(changed.select("id"), "id", "left_semi"), "k")
+        counts = own.select(*key, F.col("nk").alias("others")).distinct()
+        left = to(fresh.join(counts, key).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("others") - 1))), F.col("k"), F.col("o"), 0)
+        blocks = fresh.select(*key, F.col("nk").alias("fresh")).distinct()
+        right = to(own.join(blocks, key).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("fresh") - 1))), F.col("o"), F.col("k"), 1)
+
+    everything = changed is None
+
+    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+        alone = everything and pdf["i"].iloc[0] == pdf["j"].iloc[0]
+        if alone:
+            b = a
+        if a.empty or b.empty:
+            return pd.DataFrame({"a": a["id"][:0], "b": b["id"][:0], "score": np.empty(0)})
+        x, y = np.array(a["vector"].tolist(), np.float64), np.array(b["vector"].tolist(), np.float64)
+        score = np.clip(x @ y.T, -1.0, 1.0)
+        p, q = np.nonzero(score >= threshold)
+        ia, ib = a["id"].to_numpy()[p], b["id"].to_numpy()[q]
+        keep = ia < ib if alone else ia != ib
+        return pd.DataFrame({"a": ia[keep], "b": ib[keep], "score": score[p, q][keep]})
+
+    id_type = dict(usable.dtypes)["id"]
+
+    def named(key_, pdf: pd.DataFrame) -> pd.DataFrame:
+        return kernel(pdf).assign(model=key_[0])[["a", "b", "model", "score"]]
+
+    met = left.unionByName(right).groupBy("model", "dim", "i", "j").applyInPandas(named, f"a {id_type}, b {id_type}, model string, score double")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "score", *_edge(SEMANTIC, F.concat(F.lit("embedding:"), F.col("model"))))
 
 
 def lsh_embedding_edges(vectors: DataFrame, *, threshold: float = 0.75, dim: int, bands: int = 16, bits: int = 8, seed: int = 1) -> DataFrame:
