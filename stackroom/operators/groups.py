@@ -51,7 +51,9 @@ def smart_groups(memberships: DataFrame, clusters: DataFrame, *, max_groups: int
     candidates = reduce(DataFrame.unionByName, [categories, composites, near, semantic])
     order = [F.desc("priority"), F.desc("items"), F.asc("title"), F.asc("group_id")]
     limit = reduce(lambda out, x: out.when(F.col("lane") == x[0], min(max_groups, x[1])), X.LANE_LIMITS.items(), F.when(F.lit(False), 0))
-    lanes = candidates.withColumn("lane", X.lane(F.col("group_id"), F.col("kind"))).withColumn("n", F.row_number().over(Window.partitionBy("lane").orderBy(*order))).where(F.col("n") <= limit)
+    lanes = candidates.withColumn("lane", X.lane(F.col("group_id"), F.col("kind"))).withColumn("n", F.row_number().over(Window.partitionBy("lane").orderBy(*order)))
+    # The literal bound lets every task keep its first few of a lane before the shuffle.
+    lanes = lanes.where((F.col("n") <= max(X.LANE_LIMITS.values())) & (F.col("n") <= limit))
     shown = lanes.orderBy(*order).limit(max_groups).withColumn("position", F.row_number().over(Window.orderBy(*order)))
     cols = ["position", "group_id", "title", "subtitle", "kind", "priority", "items", "confidence"]
     if not with_members:
