@@ -42,7 +42,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages")))
-    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "bundle", "frame", "frame_offset")
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,4 +61,33 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL = (op1_line_dedup, op2_mix_sources, op3_language_id, op4_best_fit_packing, op5_embedding_near_dedup, op6_quality_rules, op7_warc, op8_secret_scan, op9_substring_dedup, op10_minhash_near_dedup)
 QUERIES = {f.__name__: f for f in _ALL}
-ORACLE: dict[str, str] = {}
+
+_WORDS = "list_filter(string_split_regex(coalesce({0}, ''), '[ \t\n\x0B\f\r]+'), lambda x: x <> '')"
+_REACH = """sym AS (SELECT a, b FROM link UNION SELECT b, a FROM link), reach(a, b) AS (SELECT a, b FROM sym UNION SELECT r.a, s.b FROM reach r JOIN sym s ON s.a = r.b), comp AS (SELECT a AS node, least(a, min(b)) AS root FROM reach GROUP BY a)"""
+
+#: SQL for the operators that it can express. Models (op3, op6, op8), seeded selection (op2) and
+#: greedy packing (op4) have none; tests hold them against plain versions.
+ORACLE: dict[str, str] = {
+    "op1_line_dedup": """WITH ln AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS l, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents WHERE text IS NOT NULL),
+ big AS (SELECT doc_id, i, l, length(l) AS n FROM ln WHERE length(l) >= 24),
+ cls AS (SELECT l, n, min((doc_id, i)) AS f, n - length(replace(l, 'e', '')) AS ne, n - length(replace(l, 'n', '')) AS nn, n - length(replace(l, 't', '')) AS nt, n - length(replace(l, 'i', '')) AS ni, n - length(replace(l, ' ', '')) AS nb FROM big GROUP BY l, n),
+ link AS (SELECT a.l AS a, b.l AS b, b.f AS f FROM cls a JOIN cls b ON b.n BETWEEN a.n - 2 AND a.n + 2 AND a.l <> b.l AND abs(a.ne - b.ne) + abs(a.nn - b.nn) + abs(a.nt - b.nt) + abs(a.ni - b.ni) + abs(a.nb - b.nb) <= 4 AND levenshtein(a.l, b.l) <= 2),
+ per AS (SELECT a, count(*) AS links, min(f) AS f FROM link GROUP BY a),
+ occ AS (SELECT b.doc_id, b.i, (b.doc_id, b.i) > least(c.f, coalesce(p.f, c.f)) AS gone, (b.doc_id, b.i) > c.f AS again, coalesce(p.links, 0) AS links FROM big b JOIN cls c ON c.l = b.l LEFT JOIN per p ON p.a = b.l),
+ agg AS (SELECT doc_id, count(*) FILTER (gone) AS n_dropped, count(*) FILTER (again) AS n_exact, sum(links)::BIGINT AS n_links, coalesce(string_agg(i::VARCHAR, ',' ORDER BY i) FILTER (gone), '') AS dropped, list(i) FILTER (gone) AS drops FROM occ GROUP BY doc_id)
+ SELECT d.doc_id, len(string_split(d.text, chr(10)))::BIGINT AS n_lines, coalesce(n_dropped, 0) AS n_dropped, coalesce(n_exact, 0) AS n_exact, coalesce(n_links, 0) AS n_links, coalesce(dropped, '') AS dropped,
+ sha256(array_to_string([string_split(d.text, chr(10))[k] FOR k IN range(1, len(string_split(d.text, chr(10))) + 1) IF NOT list_contains(coalesce(a.drops, []), k - 1)], chr(10))) AS kept_sha256 FROM documents d LEFT JOIN agg a USING (doc_id)""",
+    "op5_embedding_near_dedup": f"""WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings),
+ link AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.label = y.label AND x.vec_id <> y.vec_id AND len(x.e) = len(y.e) AND x.n > 0 AND y.n > 0 AND list_dot_product(x.e, y.e) / (x.n * y.n) >= 0.93), {_REACH}
+ SELECT vec_id, coalesce((SELECT count(*) FROM link WHERE a = vec_id), 0) AS n_links, coalesce(root, vec_id) AS component_id, vec_id = coalesce(root, vec_id) AS kept FROM v LEFT JOIN comp ON node = vec_id""",
+    "op7_warc": """WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS d FROM pages), f AS (SELECT h, min(page_id) AS first FROM p GROUP BY h)
+ SELECT page_id, strlen(p.h) AS payload_bytes, array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(d, ((k // 4) * 5 + 1)::BIGINT, 5))::BIGINT >> (15 - 5 * (k % 4))) & 31) + 1, 1) FOR k IN range(0, 32)], '') AS payload_digest,
+ CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first < page_id THEN first END AS refers_to FROM p JOIN f ON f.h = p.h""",
+    "op9_substring_dedup": f"""WITH d AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents), win AS (SELECT doc_id, p, array_to_string(w[p:p+49], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS p FROM d WHERE len(w) >= 50)),
+ first AS (SELECT s, min(doc_id) AS m FROM win GROUP BY s), cov AS (SELECT DISTINCT doc_id, unnest(range(p, p + 50)) AS k FROM win JOIN first USING (s) WHERE m < doc_id), per AS (SELECT doc_id, list(k) AS ks FROM cov GROUP BY doc_id)
+ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(ks), 0)::BIGINT AS n_removed, sha256(array_to_string(CASE WHEN ks IS NULL THEN w ELSE [w[k] FOR k IN range(1, len(w) + 1) IF NOT list_contains(ks, k)] END, ' ')) AS kept_sha256 FROM d LEFT JOIN per USING (doc_id)""",
+    "op10_minhash_near_dedup": f"""WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+ s AS (SELECT DISTINCT doc_id, array_to_string(w[p:p+4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS p FROM d WHERE len(w) > 0)), c AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+ pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2), link AS (SELECT a, b FROM pairs JOIN c p ON p.doc_id = a JOIN c q ON q.doc_id = b WHERE 100 * k >= 75 * (p.n + q.n - k)), {_REACH}
+ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(root, d.doc_id) AS component_id, d.doc_id = coalesce(root, d.doc_id) AS kept FROM d LEFT JOIN c USING (doc_id) LEFT JOIN comp ON node = d.doc_id""",
+}
