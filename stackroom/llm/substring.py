@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stackroom.llm import kernels as K
-from stackroom.session import cut
+from stackroom.session import cut, drop_scratch, release
 
 WIDTH = 50
 ANCHOR = 8
@@ -123,8 +123,12 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     shared = cut(entries.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b").select("anchor"), "shared")
     wanted = entries.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("wanted"))
     windows = cut(base.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_windows(width, anchor), "w long, anchor long, doc_id long, pos int"), "windows")
+    release(docs.sparkSession)
     firsts = cut(windows.groupBy("w", "anchor").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last").select("w", "anchor", "first"), "firsts")
     starts = windows.join(firsts, ["w", "anchor"]).where("doc_id > first").groupBy("doc_id").agg(F.collect_list(F.col("pos").cast("long")).alias("starts"), F.lit(False).alias("whole"))
     cuts = cut(starts.select("doc_id", "whole", "starts").unionByName(copies.withColumn("starts", F.lit(None).cast("array<long>"))), "cuts")
+    for table in (feats, windows, firsts):
+        drop_scratch(docs.sparkSession, table)
+    release(docs.sparkSession)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, intervals array<long>" + (", kept_text string" if texts else "")
     return base.join(cuts, "doc_id", "left").select("doc_id", "text", "whole", "starts").mapInArrow(_apply(width, texts), schema)
