@@ -96,13 +96,28 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, dims: int, t
     """Full-batch logistic regression with classes of equal weight, then Platt scaling on every fifth row."""
     held = np.arange(len(rows)) % 5 == 4 if len(rows) >= 50 else np.zeros(len(rows), bool)
 
-    def matrix(which):
-        own = [rows[i] for i in np.nonzero(which)[0]]
-        row = np.repeat(np.arange(len(own), dtype=np.int32), [len(a) for a, _ in own])
-        return row, np.concatenate([a for a, _ in own]).astype(np.int32), np.concatenate([w for _, w in own]).astype(np.float32), len(own)
+    def matrix(which, entries=500_000):
+        # Chunks of rows, so that temporaries stay small beside the driver's heap.
+        chunks, own, held_ = [], [], 0
+        picked = [rows[i] for i in np.nonzero(which)[0]]
+        for k, row in enumerate(picked):
+            own.append(row)
+            held_ += len(row[0])
+            if held_ >= entries or k == len(picked) - 1:
+                at = np.repeat(np.arange(len(own), dtype=np.int32), [len(a) for a, _ in own])
+                chunks.append((at, np.concatenate([a for a, _ in own]), np.concatenate([w for _, w in own]), len(own)))
+                own, held_ = [], 0
+        return chunks
 
     def margin(m, weights):
-        return np.bincount(m[0], weights[m[1]] * m[2], minlength=m[3])
+        return np.concatenate([np.bincount(at, weights[cols] * w, minlength=n) for at, cols, w, n in m])
+
+    def slopes(m, error):
+        out, first = np.zeros(dims + DENSE), 0
+        for at, cols, w, n in m:
+            out += np.bincount(cols, error[first : first + n][at] * w, minlength=dims + DENSE)
+            first += n
+        return out
 
     size = dims + DENSE
     weights, first, second = np.zeros(size), np.zeros(size), np.zeros(size)
@@ -111,7 +126,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, dims: int, t
     balance = np.where(target == 1, 0.5 / max(1, target.sum()), 0.5 / max(1, (1 - target).sum()))
     for t in range(1, rounds + 1):
         error = (1 / (1 + np.exp(-margin(fit, weights))) - target) * balance
-        grad = np.bincount(fit[1], error[fit[0]] * fit[2], minlength=size) + ridge * weights
+        grad = slopes(fit, error) + ridge * weights
         first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad * grad
         weights -= 0.1 * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-10)
     check = matrix(held) if held.any() and 0 < y[held].sum() < held.sum() else fit
