@@ -24,6 +24,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stackroom.llm.mixing import WORD
 from stackroom.session import bloom_joins, cut, drop_scratch, release
 
 THRESHOLD = 2
@@ -159,13 +160,16 @@ def within(a: Column, b: Column, threshold: int) -> Column:
     return F.when((F.abs(F.length(a) - F.length(b)) <= threshold) & likely, banded_distance(a, b, threshold) <= threshold).otherwise(False)
 
 
-def line_classes(docs: DataFrame, threshold: int, min_chars: int) -> tuple[DataFrame, DataFrame]:
+def line_classes(docs: DataFrame, threshold: int, min_chars: int, short: bool = False) -> tuple[DataFrame, DataFrame]:
     """Occurrences ``(doc_id, no, h, g)`` and classes ``(h, g, n, line, doc, no, occurrences)``.
 
     The identity of a line is two hashes of 96 bits in all; ``doc`` and ``no`` are its first
-    occurrence.
+    occurrence. Lines under ``min_chars`` have a class if ``short`` and if they hold a word.
     """
-    lines = docs.where("doc_id is not null and text is not null").select("doc_id", F.posexplode(split_lines(F.col("text"))).alias("no", "line")).where(F.length("line") >= max(min_chars, threshold + 1))
+    wanted = F.length("line") >= max(min_chars, threshold + 1)
+    if short:
+        wanted = wanted | F.rlike("line", F.lit(WORD))
+    lines = docs.where("doc_id is not null and text is not null").select("doc_id", F.posexplode(split_lines(F.col("text"))).alias("no", "line")).where(wanted)
     keyed = lines.select("doc_id", "no", F.xxhash64("line").alias("h"), F.hash("line").alias("g"), "line")
     classes = keyed.groupBy("h", "g").agg(F.first("line").alias("line"), F.min(F.struct("doc_id", "no")).alias("first"), F.count("*").alias("occurrences"))
     return keyed.drop("line"), cut(classes.select("h", "g", F.length("line").alias("n"), "line", F.col("first.doc_id").alias("doc"), F.col("first.no").alias("no"), "occurrences"), "lines")
@@ -200,16 +204,16 @@ def edit_links(classes: DataFrame, threshold: int) -> DataFrame:
     return one("a", "b").unionByName(one("b", "a"))
 
 
-def removals(docs: DataFrame, *, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
+def removals(docs: DataFrame, *, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, short: bool = False) -> DataFrame:
     """``(doc_id, dropped, n_exact, n_links)`` for documents that lose a line or hold a linked one.
 
     ``dropped`` are numbers of lines to which an equal or near line occurs earlier, by (doc_id,
     line number); ``n_exact`` of them have an equal one, and ``n_links`` counts the links of the
     document's lines to other lines.
     """
-    occurrences, classes = line_classes(docs, threshold, min_chars)
+    occurrences, classes = line_classes(docs, threshold, min_chars, short)
     release(docs.sparkSession)
-    links = edit_links(classes, threshold).groupBy("h", "g").agg(F.count("*").alias("links"), F.min(F.struct(F.col("doc2").alias("doc"), F.col("no2").alias("no"))).alias("other"))
+    links = edit_links(classes.where(F.col("n") >= max(min_chars, threshold + 1)) if short else classes, threshold).groupBy("h", "g").agg(F.count("*").alias("links"), F.min(F.struct(F.col("doc2").alias("doc"), F.col("no2").alias("no"))).alias("other"))
     info = classes.select("h", "g", F.struct("doc", "no").alias("own"), "occurrences").join(links, ["h", "g"], "left").where("occurrences > 1 or links > 0")
     release(docs.sparkSession)
     info = cut(info.select("h", "g", "own", F.least("own", "other").alias("first"), F.coalesce("links", F.lit(0)).alias("links")), "repeats")
@@ -224,18 +228,19 @@ def _kept_lines(dropped: str) -> Column:
     return F.filter(split_lines(F.col("text")), lambda line, i: ~F.array_contains(dropped, i))
 
 
-def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, short: bool = False) -> DataFrame:
     """``docs`` without their near-duplicate lines, plus ``(n_lines, n_dropped, n_exact, n_links, dropped)``.
 
     A line, a piece between newlines of at least ``min_chars`` characters, goes if a line of at
     most ``threshold`` edits away, itself gone or not, occurs in a smaller (doc_id, line number).
-    Shorter lines stay: so few characters agree by chance. Null texts stay null (no lines),
+    Shorter lines stay, or with ``short`` go if they hold a word and the very same line occurs
+    earlier; they have no links, as so few characters are near by chance. Null texts stay null (no lines),
     empty ones empty. A null id neither removes nor loses lines. Rows that repeat an id count
     as one document and do not remove each other's lines. Other columns pass through, but a
     column named like one of the five new ones is replaced. An empty table stays empty.
     """
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    gone = removals(base, threshold=threshold, min_chars=min_chars).withColumnRenamed("doc_id", "__id")
+    gone = removals(base, threshold=threshold, min_chars=min_chars, short=short).withColumnRenamed("doc_id", "__id")
     new = ["n_lines", "n_dropped", "n_exact", "n_links", "dropped"]
     kept = docs.drop(*new)
     names = [c for c in kept.columns]

@@ -11,7 +11,15 @@ from stackroom.session import table
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: lines, lines removed, those with an equal earlier line, links of its lines, digest of what is kept."""
-    out = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return _line_report(linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op1_line_dedup_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op1_line_dedup with lines of any length: those under 24 characters that hold a word go if the same line occurs earlier."""
+    return _line_report(linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), short=True))
+
+
+def _line_report(out: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", "n_exact", "n_links", F.array_join(F.col("dropped").cast("array<string>"), ",").alias("dropped"), F.sha2("text", 256).alias("kept_sha256"))
 
 
@@ -59,7 +67,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-_ALL = (op1_line_dedup, op2_mix_sources, op3_language_id, op4_best_fit_packing, op5_embedding_near_dedup, op6_quality_rules, op7_warc, op8_secret_scan, op9_substring_dedup, op10_minhash_near_dedup)
+_ALL = (op1_line_dedup, op2_mix_sources, op3_language_id, op4_best_fit_packing, op5_embedding_near_dedup, op6_quality_rules, op7_warc, op8_secret_scan, op9_substring_dedup, op10_minhash_near_dedup, op1_line_dedup_whole)
 QUERIES = {f.__name__: f for f in _ALL}
 
 _WORDS = "list_filter(string_split_regex(coalesce({0}, ''), '[ \t\n\x0B\f\r]+'), lambda x: x <> '')"
@@ -91,3 +99,10 @@ ORACLE: dict[str, str] = {
  pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2), link AS (SELECT a, b FROM pairs JOIN c p ON p.doc_id = a JOIN c q ON q.doc_id = b WHERE 100 * k >= 75 * (p.n + q.n - k)), {_REACH}
  SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(root, d.doc_id) AS component_id, d.doc_id = coalesce(root, d.doc_id) AS kept FROM d LEFT JOIN c USING (doc_id) LEFT JOIN comp ON node = d.doc_id""",
 }
+
+#: The same rows for lines of any length: short ones form classes too, but no links.
+ORACLE["op1_line_dedup_whole"] = (
+    ORACLE["op1_line_dedup"]
+    .replace("WHERE length(l) >= 24)", r"WHERE length(l) >= 24 OR regexp_matches(l, '[^ \t\n\x0B\f\r]'))")
+    .replace("FROM cls a JOIN cls b ON b.n BETWEEN", "FROM cls a JOIN cls b ON a.n >= 24 AND b.n >= 24 AND b.n BETWEEN")
+)
