@@ -53,9 +53,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_bins(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bins of the documents' words."""
+    """Bins of the documents' words, each piece with its text."""
     ship(spark)
-    return packing.pack(docs)
+    return packing.pack(docs, texts=True)
 
 
 STAGES = [("quality", keep_quality), ("line dedup", drop_all_lines), ("near-dedup", one_of_each), ("mixing", mix_sources), ("packing", pack_bins)]
