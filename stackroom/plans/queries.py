@@ -556,7 +556,7 @@ _MIX = "(lower(substr(content,1,200)) || CASE WHEN doc_id%3=0 THEN ' canvas' ELS
 @query("files", f"SELECT file_id, contains(t,'blackboard') OR contains(t,'moodle') OR contains(t,'instructure') OR (contains(t,'canvas') AND (contains(t,'course') OR contains(t,'module') OR contains(t,'assignment'))) AS lms, contains(t,'worksheet') OR contains(t,'assignment') OR contains(t,'homework') AS assignment FROM (SELECT file_id, {_MIX} AS t FROM files WHERE content IS NOT NULL)")
 def lms_assignment(spark, sf):
     i = c("doc_id")
-    t = F.concat(F.lower(F.substring("content", 1, 200)), F.when(i % 3 == 0, " canvas").otherwise(""), F.when(i % 6 == 0, " assignment").otherwise(""), F.when(i % 20 == 1, " moodle").otherwise(""))
+    t = F.concat(F.lower("content"), F.when(i % 3 == 0, " canvas").otherwise(""), F.when(i % 6 == 0, " assignment").otherwise(""), F.when(i % 20 == 1, " moodle").otherwise(""))
     return W.files(spark, sf, True).where("content is not null").withColumn("t", t).select("file_id", L.lms_context(c("t")).alias("lms"), L.assignment_word(c("t")).alias("assignment"))
 
 
