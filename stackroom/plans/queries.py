@@ -411,6 +411,16 @@ def cosine_matrix_recall(spark, sf):
     return S.cosine_matrix_recall(texts, images, 5).withColumn("recall_at_1", F.round("recall_at_1", 6))
 
 
+@query()
+def cosine_matrix_recall_all(spark, sf):
+    """The first vector of each label against all other vectors of the table."""
+    e = table(spark, sf, "embeddings").select("vec_id", "label", c("embedding").alias("vector"))
+    labels = (e.agg(F.max("label")).first()[0] or 0) + 2  # the last number is for vectors without a label
+    first = e.where("label is not null").groupBy("label").agg(F.min_by("vector", "vec_id").alias("vector"), F.min("vec_id").alias("vec_id"))
+    others = e.join(first.select("vec_id"), "vec_id", "left_anti").select((c("vec_id") * labels + F.coalesce("label", F.lit(labels - 1))).alias("column"), "vector")
+    return S.cosine_matrix_recall(first.select("label", "vector"), others, labels).withColumn("recall_at_1", F.round("recall_at_1", 6))
+
+
 # ---- similarity graph -------------------------------------------------------------------------
 
 
