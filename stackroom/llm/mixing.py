@@ -7,8 +7,10 @@ cost meets the quotas with as little repetition as there can be. Seeded document
 realise each pattern's flow.
 
 Only patterns and sources reach the driver: their number is checked against ``max_patterns``
-and does not grow with the documents. Documents are ranked in two levels, hash slices and
-then the one slice that the quota cuts, so no source is ever ordered in one task.
+and does not grow with the documents. Patterns without a source in common are routed apart,
+so a table whose documents have one source each needs no search. Documents are ranked in
+three levels, runs of hash slices, slices of the run that the quota cuts and then the one
+slice that it cuts, so no source is ever ordered in one task.
 """
 
 from __future__ import annotations
@@ -16,16 +18,18 @@ from __future__ import annotations
 import heapq
 import math
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from stackroom.llm.copies import spread_out
 from stackroom.session import cut
 
 WORD = r"[^\x20\x09-\x0D]+"
 SLICE_ROWS = 2000
+#: Slices of a run.
+RUN_SLICES = 1024
 
 
 def word_count(text: Column | str) -> Column:
@@ -54,12 +58,41 @@ def water_fill(sizes: list[int], weights: list[float], total: float, cap: float)
 
 
 def min_cost_flow(patterns: list[tuple[tuple[int, ...], int]], quotas: list[int], uses: int) -> list[dict[int, int]]:
-    """Tokens that each pattern sends to each source.
+    """Tokens that each pattern sends to each source, each set of connected sources on its own.
 
     ``patterns`` are (sources, tokens). Use k of a pattern's tokens costs k*k-(k-1)*(k-1),
     so every token is used once before any is used twice where the quotas allow. Successive
-    shortest paths with potentials; patterns and sources are few.
+    shortest paths with potentials.
     """
+    top = list(range(len(quotas)))
+
+    def find(s):
+        while top[s] != s:
+            top[s] = top[top[s]]
+            s = top[s]
+        return s
+
+    for sources, _ in patterns:
+        for s in sources[1:]:
+            top[find(s)] = find(sources[0])
+    parts: dict[int, list[int]] = {}
+    for p, (sources, _) in enumerate(patterns):
+        if sources:
+            parts.setdefault(find(sources[0]), []).append(p)
+    flows: list[dict[int, int]] = [{} for _ in patterns]
+    for own in parts.values():
+        used = sorted({s for p in own for s in patterns[p][0]})
+        at = {s: i for i, s in enumerate(used)}
+        if len(own) == 1 and len(used) == 1:
+            sent = min(quotas[used[0]], patterns[own[0]][1] * uses)
+            flows[own[0]] = {used[0]: sent} if sent > 0 else {}
+            continue
+        for p, flow in zip(own, _route([(tuple(at[s] for s in patterns[p][0]), patterns[p][1]) for p in own], [quotas[s] for s in used], uses)):
+            flows[p] = {used[s]: x for s, x in flow.items()}
+    return flows
+
+
+def _route(patterns: list[tuple[tuple[int, ...], int]], quotas: list[int], uses: int) -> list[dict[int, int]]:
     n, m = len(patterns), len(quotas)
     start, end = n + m, n + m + 1
     graph: list[list[list]] = [[] for _ in range(n + m + 2)]
@@ -111,30 +144,28 @@ def min_cost_flow(patterns: list[tuple[tuple[int, ...], int]], quotas: list[int]
     return flows
 
 
-def _fill(cap: int):
-    """In rank order, take every document of the cut slice that still fits, and one more if that comes nearer."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["rank", "size"], kind="mergesort")
-        room = int(pdf["room"].iloc[0])
-        alike = pdf.groupby(["rank", "size"], sort=False).ngroup().to_numpy()  # repeated rows go together
-        needs = np.bincount(alike, weights=pdf["size"]).astype(np.int64).tolist()
-        took = np.zeros(len(needs), np.int64)
-        for k, need in enumerate(needs):
-            if need <= room:
-                took[k] = 1
-                room -= need
-        left = [k for k in range(len(needs)) if not took[k]]
-        best = min(left, key=lambda k: needs[k], default=None)
-        if best is not None and needs[best] - room < room:
-            took[best] = 1
-        pdf["taken"] = pdf["size"] * np.minimum(pdf["whole"] + took[alike], cap)
-        return pdf[["id", "pattern", "size", "taken"]]
-
-    return run
+def _fill(pdf: pd.DataFrame) -> pd.DataFrame:
+    """In rank order, take every document of the cut slice that still fits, and one more if that comes nearer.
 
-
-def mix(docs: DataFrame, *, id_col: str = "doc_id", sources_col: str = "sources", size_col: str = "size", seed: int = 17, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: int = 2, max_patterns: int = 10_000) -> tuple[DataFrame, DataFrame]:
+    A row stands for ``n`` equal documents; ``took`` says how many of them are taken once more.
+    """
+    pdf = pdf.sort_values(["rank", "size", "id"], na_position="last", kind="mergesort")
+    room = int(pdf["room"].iloc[0])
+    sizes, counts = pdf["size"].tolist(), pdf["n"].tolist()
+    took = []
+    for need, n in zip(sizes, counts):
+        k = min(n, room // need) if need > 0 else 0
+        took.append(k)
+        room -= k * need
+    left = [k for k in range(len(sizes)) if took[k] < counts[k] and sizes[k] > 0]
+    best = min(left, key=lambda k: sizes[k], default=None)
+    if best is not None and sizes[best] - room < room:
+        took[best] += 1
+    pdf["took"] = took
+    return pdf[["id", "pattern", "size", "whole", "n", "took"]]
+
+
+def mix(docs: DataFrame, *, id_col: str = "doc_id", sources_col: str = "sources", size_col: str = "size", seed: int = 17, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: int = 2, max_patterns: int = 200_000) -> tuple[DataFrame, DataFrame]:
     """``(documents, sources)`` of the mix.
 
     ``docs`` has an id, an array of the sources that hold the document (a null source is a
@@ -142,24 +173,29 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", sources_col: str = "sources"
     sources; targets are ``share`` of all sizes, none above ``cap`` times its source's size.
 
     documents: ``(id, pattern, size, taken)`` for every row, ``taken`` a multiple of its size
-    of at most ``cap``. sources: ``(source, source_size, target, taken)``. Empty and null
-    sizes take nothing; an empty table gives no rows; repeated rows are documents of their
-    own. Reruns agree, because ranks follow a seeded hash of the id, and ties share a rank.
+    of at most ``cap``. sources: ``(source, source_size, target, routed)``. Empty and null
+    sizes take nothing, nor do documents of no source (a null or empty array). An empty table
+    gives no rows. Repeated rows are documents of their own: some may be taken and others not.
+    Ids keep their type; rows of a null id are documents like others, whose ranks tie. Ties go
+    by size. Reruns agree, because ranks follow a seeded hash of the id. Other columns are
+    ignored, whatever their names. More than ``max_patterns`` membership patterns, which the
+    driver would have to hold, are an error.
     """
     spark = docs.sparkSession
-    sized = cut(docs.select(F.col(id_col).alias("id"), F.to_json(F.struct(F.array_sort(F.array_distinct(sources_col)).alias("s")), {"ignoreNullFields": "false"}).alias("pattern"), F.coalesce(F.col(size_col), F.lit(0)).cast("long").alias("size")), "sized")
+    kind = docs.select(id_col).dtypes[0][1]
+    sized = cut(docs.select(F.col(id_col).cast("string").alias("id"), F.to_json(F.struct(F.array_sort(F.array_distinct(sources_col)).alias("s")), {"ignoreNullFields": "false"}).alias("pattern"), F.coalesce(F.col(size_col), F.lit(0)).cast("long").alias("size")), "sized")
     found = sized.groupBy("pattern").agg(F.sum("size").alias("tokens"), F.count("*").alias("n")).select("pattern", F.from_json("pattern", "s array<string>").s.alias("s"), "tokens", "n").limit(max_patterns + 1).collect()
     if len(found) > max_patterns:
         raise ValueError(f"more than {max_patterns} membership patterns; group the sources first")
     found.sort(key=lambda r: r["pattern"])
-    names = sorted({s for r in found for s in r["s"]}, key=lambda s: (s is None, s or ""))
+    names = sorted({s for r in found for s in r["s"] or ()}, key=lambda s: (s is None, s or ""))
     at = {s: i for i, s in enumerate(names)}
     sizes = [0] * len(names)
     for r in found:
-        for s in r["s"]:
+        for s in r["s"] or ():
             sizes[at[s]] += r["tokens"]
-    targets = water_fill(sizes, [weights[i % len(weights)] for i in range(len(names))], share * sum(r["tokens"] for r in found), cap)
-    flows = min_cost_flow([(tuple(at[s] for s in r["s"]), r["tokens"]) for r in found], [round(t) for t in targets], cap)
+    targets = water_fill(sizes, [weights[i % len(weights)] for i in range(len(names))], share * sum(r["tokens"] for r in found if r["s"]), cap)
+    flows = min_cost_flow([(tuple(at[s] for s in r["s"] or ()), r["tokens"]) for r in found], [round(t) for t in targets], cap)
     reached = [0] * len(names)
     for flow in flows:
         for s, x in flow.items():
@@ -174,23 +210,37 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", sources_col: str = "sources"
     plans = spark.createDataFrame(plan, "pattern string, whole long, rest long, slices long")
     rank = F.xxhash64(F.lit(seed), F.col("id"))
     ranked = sized.join(F.broadcast(plans), "pattern").withColumn("rank", rank).withColumn("slice", F.pmod(F.shiftrightunsigned("rank", 1), F.col("slices")))
-    slices = ranked.groupBy("pattern", "slice", "rest").agg(F.sum("size").alias("tokens"))
-    order = Window.partitionBy("pattern").orderBy("slice")
-    before = F.coalesce(F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cutting = cut(slices.withColumn("before", before).where("before <= rest and before + tokens > rest").select("pattern", F.col("slice").alias("at"), "before"), "cutting")
-    # Only the slice that a quota cuts is ordered: about SLICE_ROWS documents of each pattern.
+    slices = cut(ranked.groupBy("pattern", "slice", "rest").agg(F.sum("size").alias("tokens")), "slices")
+    runs = slices.groupBy("pattern", "rest", F.floor(F.col("slice") / RUN_SLICES).alias("run")).agg(F.sum("tokens").alias("tokens"))
+
+    def at_cut_of(parts: DataFrame, by: list[str], order: str, before: Column) -> DataFrame:
+        earlier = F.sum("tokens").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+        placed = parts.withColumn("before", before + F.coalesce(earlier, F.lit(0)))
+        return placed.where("before <= rest and before + tokens > rest")
+
+    run = at_cut_of(runs, ["pattern"], "run", F.lit(0)).select("pattern", "run", F.col("before").alias("ahead"))
+    inner = slices.withColumn("run", F.floor(F.col("slice") / RUN_SLICES)).join(F.broadcast(run), ["pattern", "run"])
+    cutting = cut(at_cut_of(inner, ["pattern"], "slice", F.col("ahead")).select("pattern", F.col("slice").alias("at"), "before"), "cutting")
+    # Only the slice that a quota cuts is ordered: about SLICE_ROWS different documents of each pattern.
     placed = ranked.join(F.broadcast(cutting), "pattern", "left")
     at_cut = F.coalesce(F.col("slice") == F.col("at"), F.lit(False))
     once = F.coalesce(F.col("slice") < F.col("at"), F.lit(False)).cast("long")
-    clear = placed.where(~at_cut).select("id", "pattern", "size", (F.col("size") * F.least(F.col("whole") + once, F.lit(cap))).alias("taken"))
-    kinds = f"id {dict(sized.dtypes)['id']}, pattern string, size long, taken long"
-    edge = placed.where(at_cut).select("id", "pattern", "size", "whole", "rank", (F.col("rest") - F.col("before")).alias("room")).groupBy("pattern").applyInPandas(_fill(cap), kinds)
-    chosen = clear.unionByName(edge)
+    times = lambda n: (F.col("size") * F.least(F.col("whole") + n, F.lit(cap))).cast("long").alias("taken")
+    own_id = F.col("id").cast(kind).alias("id")
+    clear = placed.where(~at_cut).select(own_id, "pattern", "size", times(once))
+    edge = placed.where(at_cut).groupBy("id", "pattern", "size", "whole", "rank", (F.col("rest") - F.col("before")).alias("room")).agg(F.count("*").alias("n"))
+    edge = cut(edge.groupBy("pattern").applyInPandas(_fill, "id string, pattern string, size long, whole long, n long, took long"), "edge")
+    taken = edge.where("took > 0").withColumn("m", F.col("took")).withColumn("more", F.lit(1)).unionByName(edge.where("took < n").withColumn("m", F.col("n") - F.col("took")).withColumn("more", F.lit(0)))
+    chosen = clear.unionByName(spread_out(taken, "m").select(own_id, "pattern", "size", times(F.col("more"))))
     return chosen, sources
 
 
 def mix_single(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """``(doc_id, size, source_size, target, taken)`` for documents that each have one source."""
+    """``(doc_id, size, source_size, target, taken)`` for documents that each have one source, a row for each.
+
+    A null text has no words and is never taken; a null source is one like any other. Texts
+    are read whole. Ties, repeated rows, null ids, other columns and empty tables: see :func:`mix`.
+    """
     sized = docs.select(F.col(id_col).alias("doc_id"), F.array(F.col(source_col).cast("string")).alias("sources"), word_count(text_col).alias("size"))
     chosen, sources = mix(sized, **options)
     own = chosen.withColumn("source", F.from_json("pattern", "s array<string>").s[0])

@@ -5,9 +5,11 @@ that have filled their places in it, and duplicate clusters it holds. Bins are o
 residual; from the tightest that fits, the search walks to its successors until it finds a
 compatible one, and opens a new bin if there is none.
 
-The table is dealt into groups of about ``group_rows`` documents by a hash of the id, so no
-key decides the size of a group; each group is packed on its own in bounded memory. Longer
-documents are cut at the capacity: full pieces fill bins of their own, the rest is packed.
+The table is dealt into groups of about ``group_rows`` documents by a hash of the id and, for
+equal rows, of the copy's number, so no key decides the size of a group; each group is packed
+on its own in bounded memory. Longer documents are cut at the capacity: full pieces fill bins
+of their own, the rest is packed. Ids travel as text, since pandas would make a column of
+numbers with a null one of floating point.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stackroom.llm.copies import numbered
 from stackroom.llm.mixing import WORD, word_count
 from stackroom.session import cut
 
@@ -66,8 +69,8 @@ def best_fit(items: list[tuple[int, int, int]], capacity: int, per_source: int)
 
 
 def _pack_group(pdf: pd.DataFrame, capacity: int, per_source: int) -> pd.DataFrame:
-    pdf = pdf.sort_values(["doc_id", "size", "cluster", "source"], na_position="last", kind="mergesort").reset_index(drop=True)
-    pdf["copy"] = pdf.groupby(["doc_id"], dropna=False).cumcount()
+    # Shorter ids first: whole numbers come in their order.
+    pdf = pdf.assign(__long=pdf["doc_id"].str.len()).sort_values(["__long", "doc_id", "size", "cluster", "source", "copy"], na_position="last", kind="mergesort").reset_index(drop=True)
     group = int(pdf["group"].iloc[0])
     prints = pdf["print"].tolist() if "print" in pdf else [None] * len(pdf)
     rows, items = [], []
@@ -86,9 +89,8 @@ def _pack_group(pdf: pd.DataFrame, capacity: int, per_source: int) -> pd.DataFra
     for (rest, _, _, doc, copy, whole, mark), b in zip(items, best_fit([x[:3] for x in items], capacity, per_source)):
         rows.append((doc, copy, whole, whole * capacity, rest, mark, bins + b))
     out = pd.DataFrame(rows, columns=["doc_id", "copy", "piece", "start_word", "n_words", "print", "bin"])
-    out["doc_id"] = out["doc_id"].astype("Int64")
     out["bin_id"] = group * (1 << 24) + out.pop("bin")
-    out = out.sort_values(["bin_id", "doc_id", "copy", "piece"], kind="mergesort")
+    out = out.sort_values(["bin_id"], kind="mergesort")
     out["place"] = out.groupby("bin_id")["n_words"].cumsum() - out["n_words"]
     return out[["bin_id", "place", "doc_id", "copy", "piece", "start_word", "n_words", *(["print"] if "print" in pdf else [])]]
 
@@ -110,7 +112,9 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", size_col: str | None = None
     are alone in it). Without ``cluster_col`` the cluster is the exact text; without
     ``size_col`` the size is the number of words. Null texts, sizes and empty texts are one
     piece of no words, so every row appears. A null source or cluster conflicts with nothing.
-    Repeated rows are told apart by ``copy``. An empty table gives no rows.
+    Equal rows are told apart by ``copy``. Ids keep their type; a null id is one like any
+    other. Texts are read whole, however long. Other columns are ignored, whatever their
+    names. Reruns agree: ties go by size, then id. An empty table gives no rows.
 
     With ``texts`` each row also has its piece's ``text``, blanks included: the pieces of a
     document make up its text, those of a bin in order of ``place`` the training sequence. Only
@@ -118,24 +122,27 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", size_col: str | None = None
     """
     if texts and size_col:
         raise ValueError("texts are cut by words, so they need sizes in words")
+    kind = docs.select(id_col).dtypes[0][1]
     size = F.coalesce(F.col(size_col), F.lit(0)).cast("long") if size_col else word_count(text_col)
     cluster = F.xxhash64(cluster_col) if cluster_col else F.when(F.length(text_col) > 0, F.xxhash64(text_col))
     if cluster_col:
         cluster = F.when(F.col(cluster_col).isNotNull(), cluster)
     groups = max(1, round(docs.count() / group_rows))
     mark = [F.when(F.col(text_col).isNotNull(), F.xxhash64(text_col)).cast("string").alias("print")] if texts else []  # rows that repeat an id may differ in text
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), size.alias("size"), F.col(source_col).cast("string").alias("source"), cluster.cast("string").alias("cluster"), *mark)
-    dealt = slim.withColumn("group", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size", "cluster"), F.lit(groups)))
+    slim = docs.select(F.col(id_col).cast("string").alias("doc_id"), size.alias("size"), F.col(source_col).cast("string").alias("source"), cluster.cast("string").alias("cluster"), *mark)
+    dealt = numbered(slim, "sizes").withColumn("group", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size", "cluster", "copy"), F.lit(groups)))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         return _pack_group(pdf, capacity, per_source)
 
-    columns = "bin_id long, place long, doc_id long, copy long, piece long, start_word long, n_words long"
+    columns = "bin_id long, place long, doc_id string, copy long, piece long, start_word long, n_words long"
+    own_id = lambda rows: rows.withColumn("doc_id", F.col("doc_id").cast(kind))
     if not texts:
-        return dealt.groupBy("group").applyInPandas(run, columns)
+        return own_id(dealt.groupBy("group").applyInPandas(run, columns))
     packed = cut(dealt.groupBy("group").applyInPandas(run, columns + ", print string"), "packed")
-    number = lambda x: (F.coalesce(x, F.lit(0)).alias("id"), x.isNull().alias("no_id"))
-    wide = docs.select(*number(F.col(id_col).cast("long")), size.alias("size"), *mark, F.col(text_col).alias("text"))
+    number = lambda x: (F.coalesce(x, F.lit("")).alias("id"), x.isNull().alias("no_id"))
+    wide = docs.select(*number(F.col(id_col).cast("string")), size.alias("size"), *mark, F.col(text_col).alias("text"))
     keyed = packed.select("*", *number(F.col("doc_id")))
     # Merged at any size: a hash join would hold texts in memory.
-    return keyed.join(_piece_texts(wide, capacity).hint("merge"), ["id", "no_id", "print", "piece"], "left").select(*packed.drop("print").columns, "text")
+    joined = keyed.join(_piece_texts(wide, capacity).hint("merge"), ["id", "no_id", "print", "piece"], "left")
+    return own_id(joined.select(*packed.drop("print").columns, "text"))
