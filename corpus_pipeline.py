@@ -21,21 +21,19 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.keep_good(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
-def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str, short: bool = False) -> DataFrame:
-    """Documents without lines that occur earlier (under 24 characters: if ``short``); one that loses its last word goes."""
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that occur earlier; one that loses its last word goes.
+
+    Null, empty and very long texts, null and repeated ids: as :func:`linededup.dedup_lines` says.
+    """
     ship(spark)
-    out = linededup.dedup_lines(docs, short=short)
+    out = linededup.dedup_lines(docs)
     emptied = (F.col("n_dropped") > 0) & (F.length(F.regexp_replace("text", r"[\x20\x09-\x0D]+", "")) == 0)
     out = out.where(~F.coalesce(emptied, F.lit(False)))
     n_chars = F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     return out.withColumn("n_chars", n_chars).select(*docs.columns)
 
 
-def drop_all_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines of any length that occur earlier."""
-    return drop_lines(spark, docs, sf_dir, short=True)
-
-
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, that of the smallest id."""
     ship(spark)
@@ -58,7 +56,7 @@ def pack_bins(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, texts=True)
 
 
-STAGES = [("quality", keep_quality), ("line dedup", drop_all_lines), ("near-dedup", one_of_each), ("mixing", mix_sources), ("packing", pack_bins)]
+STAGES = [("quality", keep_quality), ("line dedup", drop_lines), ("near-dedup", one_of_each), ("mixing", mix_sources), ("packing", pack_bins)]
 
 #: The classifier, the edit join and the packing are not expressible in SQL; tests compare run() with a plain version.
 ORACLE_SQL = None

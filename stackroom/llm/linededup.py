@@ -7,9 +7,17 @@ index for each length up to ``threshold`` shorter with the few substrings whose
 with the edits that may lie left and right of the segment (multi-match-aware windows of the
 pass-join method). Segments are cut from the UTF-32 form, where a place is an offset.
 
-Keys that many lines share (families of copies with a changed word or two) would give as
-many candidates as the family has pairs. Rows of such keys carry their line, and the join
-itself drops pairs too far apart; no pair is dropped otherwise.
+Keys that many lines share would give as many candidates as there are pairs of those lines.
+Two remedies, neither of which loses a pair:
+
+* A crowded key (a licence header, a form's first words) is refined. Its lines' common start
+  and end are left aside, and what lies between is cut into ``PARTS`` finer segments, of which
+  two lines within ``threshold`` edits share all but ``threshold``. A line is indexed under its
+  ``threshold + 1`` rarest ones, so any partner holds one of them, and is probed with the
+  windows of all of them. Lines of a crowd that differ in a few characters only are left
+  under their key.
+* Rows of hot keys carry their line, and the join itself drops pairs that Spark's own
+  thresholded distance puts too far apart; the bit-parallel distance below sees the others.
 
 Candidates lose their common prefix and suffix; what is left must agree on one of
 ``threshold - 1`` inner pieces, and is verified by a banded bit-parallel edit distance: each
@@ -31,14 +39,17 @@ THRESHOLD = 2
 MIN_CHARS = 24
 #: A key of so many lines or more is hot.
 HOT = 16
+#: A key of so many lines or more is refined into segments by at most ``PARTS`` parts.
+CROWD = 512
+PARTS = 12
 
 
 def split_lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def _segment(n: Column, i: Column | int, parts: int) -> tuple[Column, Column]:
-    """Start (from 0) and length of segment ``i`` of a line of ``n`` characters."""
+def _segment(n: Column, i: Column | int, parts: Column | int) -> tuple[Column, Column]:
+    """Start (from 0) and length of segment ``i`` of ``parts`` of a line of ``n`` characters."""
     i = F.lit(i) if isinstance(i, int) else i
     start = F.floor(n * i / parts).cast("int")
     return start, F.floor(n * (i + 1) / parts).cast("int") - start
@@ -160,7 +171,7 @@ def within(a: Column, b: Column, threshold: int) -> Column:
     return F.when((F.abs(F.length(a) - F.length(b)) <= threshold) & likely, banded_distance(a, b, threshold) <= threshold).otherwise(False)
 
 
-def line_classes(docs: DataFrame, threshold: int, min_chars: int, short: bool = False) -> tuple[DataFrame, DataFrame]:
+def line_classes(docs: DataFrame, threshold: int, min_chars: int, short: bool = True) -> tuple[DataFrame, DataFrame]:
     """Occurrences ``(doc_id, no, h, g)`` and classes ``(h, g, n, line, doc, no, occurrences)``.
 
     The identity of a line is two hashes of 96 bits in all; ``doc`` and ``no`` are its first
@@ -175,12 +186,56 @@ def line_classes(docs: DataFrame, threshold: int, min_chars: int, short: bool =
     return keyed.drop("line"), cut(classes.select("h", "g", F.length("line").alias("n"), "line", F.col("first.doc_id").alias("doc"), F.col("first.no").alias("no"), "occurrences"), "lines")
 
 
+def _hot(index: DataFrame) -> DataFrame:
+    return index.groupBy("key").agg(F.count("*").alias("lines")).where(F.col("lines") >= HOT)
+
+
+def _crowds(index: DataFrame, hot: DataFrame, threshold: int) -> DataFrame:
+    """``(key, size, first, width, parts)`` of crowded keys: the length of their lines and the part in which those differ."""
+    rows = index.join(hot.where(F.col("lines") >= CROWD).select("key"), "key").withColumn("back", F.reverse("line"))
+    ends = rows.groupBy("key").agg(F.min(F.length("line")).alias("size"), F.max(F.length("line")).alias("most"), *(f(c).alias(f"{f.__name__}_{c}") for c in ("line", "back") for f in (F.min, F.max)))
+    ends = ends.where("size = most").withColumn("first", common_prefix(F.col("min_line"), F.col("max_line")))
+    ends = ends.withColumn("width", F.greatest(F.col("size") - F.col("first") - common_prefix(F.col("min_back"), F.col("max_back")), F.lit(0)))
+    ends = ends.withColumn("parts", F.least(F.lit(PARTS), F.floor(F.col("width") / 2)).cast("int"))
+    return ends.where(F.col("parts") >= threshold + 2).select("key", "size", "first", "width", "parts")
+
+
+def _finer(rows: DataFrame, threshold: int, probing: bool) -> DataFrame:
+    """Rows of crowded keys with the key of a finer segment (``probing``: of a window that one may fill)."""
+    low = F.floor((threshold - F.col("shorter")) / 2).cast("int") if probing else F.lit(0)
+    parts = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    parts = parts.withColumn("shift", F.explode(F.sequence(-low, F.col("shorter") + low))) if probing else parts.withColumn("shift", F.lit(0))
+    start, size = _segment(F.col("width"), F.col("j"), F.col("parts"))
+    at = F.col("first") + start + F.col("shift")
+    inside = parts.where((at >= 0) & (at + size <= F.length("line")))
+    return inside.withColumn("fine", F.xxhash64("key", "j", _content(F.encode("line", "UTF-32"), at, size)))
+
+
+def _refine(index: DataFrame, probe: DataFrame, crowds: DataFrame, lines: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """``index`` and ``probe`` with the rows of crowded keys under finer ones."""
+    fine = cut(_finer(index.join(crowds, "key"), threshold, False).select("h", "key", "fine"), "fine")
+    rare = fine.join(fine.groupBy("fine").agg(F.count("*").alias("lines")), "fine").groupBy("h", "key").agg(F.slice(F.array_sort(F.collect_list(F.struct("lines", "fine"))), 1, threshold + 1).alias("own"))
+    chosen = cut(rare.select("h", F.explode("own.fine").alias("key")), "chosen")
+    fits = F.col("size") == F.length("line") - F.col("shorter")
+    wide = probe.join(crowds, "key", "left")
+    asked = _finer(wide.where(fits), threshold, True).select("h2", F.col("fine").alias("key"), "shorter").distinct()
+    asked = cut(asked.join(chosen.select("key").distinct(), "key", "left_semi"), "asked")
+    index_rows = index.join(crowds.select("key"), "key", "left_anti").select("h", "line", "key").unionByName(chosen.join(lines, "h").select("h", "line", "key"))
+    probe_rows = wide.where(F.coalesce(~fits, F.lit(True))).select("h2", "line", "key", "shorter").unionByName(asked.join(lines.withColumnRenamed("h", "h2"), "h2").select("h2", "line", "key", "shorter"))
+    return index_rows, probe_rows
+
+
 def edit_links(classes: DataFrame, threshold: int) -> DataFrame:
     """Links ``(h, g, h2, g2, doc2, no2)`` between different classes within ``threshold`` edits, both ways."""
     base = classes.select("h", "n", "line", F.encode("line", "UTF-32").alias("wide"))
     index = index_keys(base, threshold)
     probe = probe_keys(base.withColumnRenamed("h", "h2"), threshold)
-    hot = cut(index.groupBy("key").agg(F.count("*").alias("lines")).where(F.col("lines") >= HOT).select("key", F.lit(True).alias("hot")), "hot")
+    hot = cut(_hot(index), "hot")
+    crowds = cut(_crowds(index, hot, threshold), "crowds")
+    if not crowds.isEmpty():
+        index, probe = _refine(index, probe, crowds, classes.select("h", "line"), threshold)
+        hot = cut(_hot(index), "hot")
+    hot = hot.select("key", F.lit(True).alias("hot"))
     marked = lambda rows, name: rows.join(hot, "key", "left").withColumn(name, F.when(F.col("hot"), F.col("line"))).drop("hot", "line")
     different = (F.col("h") < F.col("h2")) | ((F.col("h") != F.col("h2")) & (F.col("shorter") > 0))
     near = F.col("ta").isNull() | (F.levenshtein("ta", "tb", threshold) >= 0)
@@ -204,7 +259,7 @@ def edit_links(classes: DataFrame, threshold: int) -> DataFrame:
     return one("a", "b").unionByName(one("b", "a"))
 
 
-def removals(docs: DataFrame, *, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, short: bool = False) -> DataFrame:
+def removals(docs: DataFrame, *, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, short: bool = True) -> DataFrame:
     """``(doc_id, dropped, n_exact, n_links)`` for documents that lose a line or hold a linked one.
 
     ``dropped`` are numbers of lines to which an equal or near line occurs earlier, by (doc_id,
@@ -228,14 +283,15 @@ def _kept_lines(dropped: str) -> Column:
     return F.filter(split_lines(F.col("text")), lambda line, i: ~F.array_contains(dropped, i))
 
 
-def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, short: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, short: bool = True) -> DataFrame:
     """``docs`` without their near-duplicate lines, plus ``(n_lines, n_dropped, n_exact, n_links, dropped)``.
 
     A line, a piece between newlines of at least ``min_chars`` characters, goes if a line of at
     most ``threshold`` edits away, itself gone or not, occurs in a smaller (doc_id, line number).
-    Shorter lines stay, or with ``short`` go if they hold a word and the very same line occurs
-    earlier; they have no links, as so few characters are near by chance. Null texts stay null (no lines),
-    empty ones empty. A null id neither removes nor loses lines. Rows that repeat an id count
+    Shorter lines go if they hold a word and the very same line occurs earlier (without
+    ``short`` they stay); they have no links, as so few characters are near by chance. Blank
+    lines stay. Texts are read whole, however long. Null texts stay null (no lines), empty
+    ones empty. A null id neither removes nor loses lines. Rows that repeat an id count
     as one document and do not remove each other's lines. Other columns pass through, but a
     column named like one of the five new ones is replaced. An empty table stays empty.
     """

@@ -11,15 +11,7 @@ from stackroom.session import table
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: lines, lines removed, those with an equal earlier line, links of its lines, digest of what is kept."""
-    return _line_report(linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")))
-
-
-def op1_line_dedup_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op1_line_dedup with lines of any length: those under 24 characters that hold a word go if the same line occurs earlier."""
-    return _line_report(linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), short=True))
-
-
-def _line_report(out: DataFrame) -> DataFrame:
+    out = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", "n_exact", "n_links", F.array_join(F.col("dropped").cast("array<string>"), ",").alias("dropped"), F.sha2("text", 256).alias("kept_sha256"))
 
 
@@ -67,7 +59,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-_ALL = (op1_line_dedup, op2_mix_sources, op3_language_id, op4_best_fit_packing, op5_embedding_near_dedup, op6_quality_rules, op7_warc, op8_secret_scan, op9_substring_dedup, op10_minhash_near_dedup, op1_line_dedup_whole)
+_ALL = (op1_line_dedup, op2_mix_sources, op3_language_id, op4_best_fit_packing, op5_embedding_near_dedup, op6_quality_rules, op7_warc, op8_secret_scan, op9_substring_dedup, op10_minhash_near_dedup)
 QUERIES = {f.__name__: f for f in _ALL}
 
 _WORDS = "list_filter(string_split_regex(coalesce({0}, ''), '[ \t\n\x0B\f\r]+'), lambda x: x <> '')"
@@ -76,10 +68,10 @@ _REACH = """sym AS (SELECT a, b FROM link UNION SELECT b, a FROM link), reach(a,
 #: SQL for the operators that it can express. Models (op3, op6, op8), seeded selection (op2) and
 #: greedy packing (op4) have none; tests hold them against plain versions.
 ORACLE: dict[str, str] = {
-    "op1_line_dedup": """WITH ln AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS l, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents WHERE text IS NOT NULL),
- big AS (SELECT doc_id, i, l, length(l) AS n FROM ln WHERE length(l) >= 24),
+    "op1_line_dedup": r"""WITH ln AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS l, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents WHERE text IS NOT NULL),
+ big AS (SELECT doc_id, i, l, length(l) AS n FROM ln WHERE length(l) >= 24 OR regexp_matches(l, '[^ \t\n\x0B\f\r]')),
  cls AS (SELECT l, n, min((doc_id, i)) AS f, n - length(replace(l, 'e', '')) AS ne, n - length(replace(l, 'n', '')) AS nn, n - length(replace(l, 't', '')) AS nt, n - length(replace(l, 'i', '')) AS ni, n - length(replace(l, ' ', '')) AS nb FROM big GROUP BY l, n),
- link AS (SELECT a.l AS a, b.l AS b, b.f AS f FROM cls a JOIN cls b ON b.n BETWEEN a.n - 2 AND a.n + 2 AND a.l <> b.l AND abs(a.ne - b.ne) + abs(a.nn - b.nn) + abs(a.nt - b.nt) + abs(a.ni - b.ni) + abs(a.nb - b.nb) <= 4 AND levenshtein(a.l, b.l) <= 2),
+ link AS (SELECT a.l AS a, b.l AS b, b.f AS f FROM cls a JOIN cls b ON a.n >= 24 AND b.n >= 24 AND b.n BETWEEN a.n - 2 AND a.n + 2 AND a.l <> b.l AND abs(a.ne - b.ne) + abs(a.nn - b.nn) + abs(a.nt - b.nt) + abs(a.ni - b.ni) + abs(a.nb - b.nb) <= 4 AND levenshtein(a.l, b.l) <= 2),
  per AS (SELECT a, count(*) AS links, min(f) AS f FROM link GROUP BY a),
  occ AS (SELECT b.doc_id, b.i, (b.doc_id, b.i) > least(c.f, coalesce(p.f, c.f)) AS gone, (b.doc_id, b.i) > c.f AS again, coalesce(p.links, 0) AS links FROM big b JOIN cls c ON c.l = b.l LEFT JOIN per p ON p.a = b.l),
  agg AS (SELECT doc_id, count(*) FILTER (gone) AS n_dropped, count(*) FILTER (again) AS n_exact, sum(links)::BIGINT AS n_links, coalesce(string_agg(i::VARCHAR, ',' ORDER BY i) FILTER (gone), '') AS dropped, list(i) FILTER (gone) AS drops FROM occ GROUP BY doc_id)
@@ -99,10 +91,3 @@ ORACLE: dict[str, str] = {
  pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2), link AS (SELECT a, b FROM pairs JOIN c p ON p.doc_id = a JOIN c q ON q.doc_id = b WHERE 100 * k >= 75 * (p.n + q.n - k)), {_REACH}
  SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(root, d.doc_id) AS component_id, d.doc_id = coalesce(root, d.doc_id) AS kept FROM d LEFT JOIN c USING (doc_id) LEFT JOIN comp ON node = d.doc_id""",
 }
-
-#: The same rows for lines of any length: short ones form classes too, but no links.
-ORACLE["op1_line_dedup_whole"] = (
-    ORACLE["op1_line_dedup"]
-    .replace("WHERE length(l) >= 24)", r"WHERE length(l) >= 24 OR regexp_matches(l, '[^ \t\n\x0B\f\r]'))")
-    .replace("FROM cls a JOIN cls b ON b.n BETWEEN", "FROM cls a JOIN cls b ON a.n >= 24 AND b.n >= 24 AND b.n BETWEEN")
-)

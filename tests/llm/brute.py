@@ -80,13 +80,15 @@ def remove_repeats(rows, width=50):
 
 def dedup_lines(rows, threshold=2, least=24):
     """{doc_id: (dropped line numbers, n_exact, n_links)}."""
-    lines = [(d, i, x) for d, t in rows if t is not None for i, x in enumerate(t.split("\n")) if len(x) >= max(least, threshold + 1)]
+    least = max(least, threshold + 1)
+    lines = [(d, i, x) for d, t in rows if t is not None for i, x in enumerate(t.split("\n")) if len(x) >= least or words(x)]
     first = {}
     for d, i, x in sorted(lines):
         first.setdefault(x, (d, i))
     by_size = defaultdict(list)
     for x in first:
-        by_size[len(x)].append(x)
+        if len(x) >= least:  # shorter lines have no links
+            by_size[len(x)].append(x)
     letters = {x: Counter(x) for x in first}
     links = defaultdict(list)
     for n in by_size:

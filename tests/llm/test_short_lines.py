@@ -14,7 +14,7 @@ ROWS = [
 
 def test_short_repeats_go(spark):
     df = spark.createDataFrame(ROWS, "doc_id long, text string")
-    got = {r["doc_id"]: ([*r["dropped"]], r["n_exact"], r["n_links"], r["text"]) for r in linededup.dedup_lines(df, short=True).collect()}
+    got = {r["doc_id"]: ([*r["dropped"]], r["n_exact"], r["n_links"], r["text"]) for r in linededup.dedup_lines(df).collect()}
     assert got == {
         1: ([], 0, 1, ROWS[0][1]),
         2: ([3, 4], 1, 1, "own\n\n  \nAll rights reserved!"),  # blank lines stay; a short line one edit away does too
