@@ -10,11 +10,17 @@ similarity, and full sets confirm it.
 Hot lists are never expanded into pairs. Round one compares every member with two hubs of
 the list and contracts what matches. Round two takes lists that still hold several
 components: members outside the list's main component meet all others, block against
-block, and a block pair returns only a spanning forest of its links. Both rounds confirm
-on full sets, so components are those of all links.
+block. Only sketches travel to these meetings; full sets follow for the documents of likely
+pairs, and a block pair returns a spanning forest of its links. Lists that are still long
+by then (thousands of documents with a passage in common and else unlike) are not compared:
+their documents are listed again, under the rarest quarter of their full sets, which such
+passages do not reach, and go through both rounds once more. Both rounds confirm on full
+sets, so components are those of all links.
 
 Misses: a pair at exactly the threshold has to share at least ``floor`` of ``listed``
-bottom values, which fails with a probability below 1e-7 (binomial tail at 0.75).
+bottom values, which fails with a probability below 1e-7 (binomial tail at 0.75). With
+``exact`` every document is listed under the rarest quarter of its full set, and no pair at
+the threshold can be missed.
 """
 
 from __future__ import annotations
@@ -25,17 +31,19 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stackroom.llm import kernels as K
 from stackroom.operators.components import connected_components
-from stackroom.session import cut
+from stackroom.session import cut, drop_scratch
 
 SHINGLE = 5
 SKETCH = 64
 LISTED = 32
 BLOCK = 256
+#: A list with so many documents outside its main component is listed again by full sets.
+LONG = 2048
 
 
 def shingle_hashes(text: bytes | None, width: int = SHINGLE) -> np.ndarray:
@@ -75,8 +83,10 @@ def _sets(width):
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                sets = [K.signed(shingle_hashes(t, width)) for t in K.raw(part.column(1))]
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), K.long_lists(sets)], schema=schema)
+                sets = [shingle_hashes(t, width) for t in K.raw(part.column(1))]
+                own = [xxhash.xxh3_128_digest(s.tobytes()) == fp for s, fp in zip(sets, part.column(2).to_pylist())]
+                ids = part.column(0).cast(pa.int64()).filter(pa.array(own, pa.bool_()))
+                yield pa.RecordBatch.from_arrays([ids, K.long_lists([K.signed(s) for s, ok in zip(sets, own) if ok])], schema=schema)
 
     return run
 
@@ -105,27 +115,53 @@ def overlaps(left: list, right: list, columns: int = 20_000) -> np.ndarray:
     return out
 
 
+def _sides(pdf: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """The two blocks that meet. ``side`` 0 holds one, 1 the other (2: a block against itself)."""
+    if (pdf["side"] == 2).all():
+        return pdf, pdf
+    return pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+
+
+def _likely(left: pd.DataFrame, right: pd.DataFrame, column: str, percent: int, sketch: int) -> np.ndarray:
+    """Which pairs of different components the union sketch doesn't rule out.
+
+    A pair's shared sketch values bound what its union sketch shares.
+    """
+    na, nb = left["n"].to_numpy()[:, None], right["n"].to_numpy()[None, :]
+    maybe = (left["comp"].to_numpy()[:, None] != right["comp"].to_numpy()[None, :]) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
+    if not maybe.any():
+        return maybe
+    shared = overlaps([x[:sketch] for x in left[column]], [x[:sketch] for x in right[column]])
+    union = np.minimum(sketch, np.minimum(na, sketch) + np.minimum(nb, sketch) - shared)
+    p = percent / 100
+    return maybe & (shared >= np.maximum(1, np.floor(union * p - 6 * np.sqrt(union * p * (1 - p)))))
+
+
+def block_candidates(pdf: pd.DataFrame, percent: int, sketch: int) -> pd.DataFrame:
+    """The rows of a block pair whose documents are in a likely pair, without their sketches."""
+    pdf = pdf.drop_duplicates(["doc_id", "side"])
+    left, right = _sides(pdf)
+    if left.empty or right.empty:
+        return pdf.iloc[:0].drop(columns="sketch")
+    maybe = _likely(left, right, "sketch", percent, sketch)
+    if left is right:
+        return pdf[maybe.any(axis=1) | maybe.any(axis=0)].drop(columns="sketch")
+    return pd.concat([left[maybe.any(axis=1)], right[maybe.any(axis=0)]]).drop(columns="sketch")
+
+
 def block_links(pdf: pd.DataFrame, percent: int, sketch: int) -> pd.DataFrame:
     """A spanning forest of the links between the documents of one block pair.
 
-    ``side`` 0 holds one block, 1 the other (2: a block against itself). Pairs already in one
-    component are skipped. A pair's shared sketch values bound what its union sketch shares,
-    so the estimate drops it early; links are confirmed on full sets.
+    Pairs already in one component are skipped; links are confirmed on full sets.
     """
     pdf = pdf.drop_duplicates(["doc_id", "side"])
-    alone = (pdf["side"] == 2).all()
-    left = pdf if alone else pdf[pdf["side"] == 0]
-    right = pdf if alone else pdf[pdf["side"] == 1]
+    left, right = _sides(pdf)
     none = pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
     if left.empty or right.empty:
         return none
     na, nb = left["n"].to_numpy()[:, None], right["n"].to_numpy()[None, :]
-    maybe = (left["comp"].to_numpy()[:, None] != right["comp"].to_numpy()[None, :]) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
+    maybe = _likely(left, right, "shingles", percent, sketch)
     sa, sb = left["shingles"].to_numpy(), right["shingles"].to_numpy()
-    shared = overlaps([x[:sketch] for x in sa], [x[:sketch] for x in sb])
-    union = np.minimum(sketch, np.minimum(na, sketch) + np.minimum(nb, sketch) - shared)
-    p = percent / 100
-    maybe &= shared >= np.maximum(1, np.floor(union * p - 6 * np.sqrt(union * p * (1 - p))))
     rows, cols = np.nonzero(maybe.any(axis=1))[0], np.nonzero(maybe.any(axis=0))[0]
     if not len(rows):
         return none
@@ -150,12 +186,14 @@ def block_links(pdf: pd.DataFrame, percent: int, sketch: int) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, width: int = SHINGLE, sketch: int = SKETCH, listed: int = LISTED, block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, width: int = SHINGLE, sketch: int = SKETCH, listed: int = LISTED, block: int = BLOCK, long: int = LONG, exact: bool = False) -> DataFrame:
     """Rows ``(doc_id, n_shingles, component_id, kept)``, one for each row of ``docs``.
 
-    Null, empty or blank texts have no shingles, link with nothing and are kept. A null id
-    is kept with a null component. Repeated rows share a component and stay as they are;
-    other columns are ignored, whatever their names. An empty table gives no rows.
+    Null, empty or blank texts have no shingles, link with nothing and are kept. Texts are read
+    whole, however long. Ids are whole numbers. A null id is kept with a null component.
+    Repeated rows share a component and stay as they are; of rows that share an id but not the
+    text, the set of the smallest fingerprint stands for the id. Other columns are ignored,
+    whatever their names. An empty table gives no rows.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     feats = cut(base.mapInArrow(_features(width, sketch), "doc_id long, n long, fp binary, sketch array<long>"), "sketches")
@@ -164,18 +202,33 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     # Equal sets: one class, represented by its smallest id.
     classes = cut(known.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep <> last").select("fp", "rep"), "classes")
     member = feats.join(classes, "fp", "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
-    reps = feats.join(classes, "fp", "left").where("n > 0 and doc_id is not null and (rep is null or rep = doc_id)").select("doc_id", "n", "sketch").dropDuplicates(["doc_id"])
-    reps = cut(reps, "reps")
-
-    prefix = cut(_prefix_lists(reps, percent, listed), "prefix")
-    involved = prefix.select("doc_id").distinct()
-    sets = cut(base.join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(width), "doc_id long, shingles array<long>"), "sets")
-
+    alone = feats.join(classes, "fp", "left").where("n > 0 and doc_id is not null and (rep is null or rep = doc_id)")
+    reps = cut(alone.groupBy("doc_id").agg(F.min_by(F.struct("n", "sketch", "fp"), "fp").alias("own")).select("doc_id", "own.n", "own.sketch", "own.fp"), "reps")
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        # (Rows that repeat an id and a text are one.)
+        wanted = base.join(ids, "doc_id").withColumn("h", F.xxhash64("text")).dropDuplicates(["doc_id", "h"]).select("doc_id", "text", "fp")
+        return cut(wanted.mapInArrow(_sets(width), "doc_id long, shingles array<long>"), "sets")
+
+    if exact:
+        sets = sets_of(reps.select("doc_id", "fp"))
+        prefix = cut(_full_lists(sets, percent), "prefix")
+    else:
+        prefix = cut(_prefix_lists(reps, percent, listed), "prefix")
+        sets = sets_of(reps.join(prefix.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "fp"))
     first = cut(_hub_links(prefix, reps, sets, percent, sketch), "hublinks")
     stars = cut(connected_components(first), "stars")
-    second = _block_links(prefix, stars, sets, percent, sketch, block)
+    second, hot = _block_links(prefix, stars, reps, sets, percent, sketch, block, None if exact else long)
     edges = stars.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(second)
+    if hot is not None:
+        again = cut(_full_lists(sets.join(hot, "doc_id", "left_semi"), percent), "prefix")
+        edges = edges.unionByName(_hub_links(again, reps, sets, percent, sketch))
+        stars = cut(connected_components(edges), "stars")
+        second, _ = _block_links(again, stars, reps, sets, percent, sketch, block, None)
+        edges = stars.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(second)
     final = cut(connected_components(edges), "components")
+    for table in (reps, prefix, sets, first):
+        drop_scratch(docs.sparkSession, table)
     return (
         member.join(final, member["rep"] == final["node"], "left")
         .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
@@ -183,14 +236,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     )
 
 
-def _prefix_lists(reps: DataFrame, percent: int, listed: int) -> DataFrame:
-    """``(v, doc_id, n)``: each document in the inverted lists of its rarest bottom values."""
-    entries = reps.select("doc_id", "n", F.explode(F.slice("sketch", 1, listed)).alias("v"))
+def _rarest(entries: DataFrame, size: Column, needed: Column) -> DataFrame:
+    """``(v, doc_id, n)`` of the ``needed`` rarest of each document's ``size`` values; those that it alone holds need no list."""
     counts = cut(entries.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"), "frequency")
-    floor = tail_floor(listed, percent / 100)
-    whole = math.floor(listed * percent / 100)  # below it, both sets of a pair are wholly listed
-    size = F.least(F.col("n"), F.lit(listed))
-    needed = F.when(F.col("n") < whole, F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).otherwise(listed - floor + 1)
     return (
         entries.join(counts, "v")
         .groupBy("doc_id")
@@ -202,6 +250,21 @@ def _prefix_lists(reps: DataFrame, percent: int, listed: int) -> DataFrame:
     )
 
 
+def _full_lists(sets: DataFrame, percent: int) -> DataFrame:
+    """``(v, doc_id, n)``: each document in the lists of so many of its rarest shingles that every partner is in one of them."""
+    entries = sets.select("doc_id", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("v"))
+    return _rarest(entries, F.col("n"), F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
+
+
+def _prefix_lists(reps: DataFrame, percent: int, listed: int) -> DataFrame:
+    """``(v, doc_id, n)``: each document in the inverted lists of its rarest bottom values."""
+    entries = reps.select("doc_id", "n", F.explode(F.slice("sketch", 1, listed)).alias("v"))
+    floor = tail_floor(listed, percent / 100)
+    whole = math.floor(listed * percent / 100)  # below it, both sets of a pair are wholly listed
+    needed = F.when(F.col("n") < whole, F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).otherwise(listed - floor + 1)
+    return _rarest(entries, F.least(F.col("n"), F.lit(listed)), needed)
+
+
 def _hub_links(prefix: DataFrame, reps: DataFrame, sets: DataFrame, percent: int, sketch: int) -> DataFrame:
     """Confirmed links of list members with two hubs of their list."""
     hubs = cut(
@@ -229,8 +292,8 @@ def _hub_links(prefix: DataFrame, reps: DataFrame, sets: DataFrame, percent: int
     return full.withColumn("both", both).where(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
 
-def _block_links(prefix: DataFrame, stars: DataFrame, sets: DataFrame, percent: int, sketch: int, block: int) -> DataFrame:
-    """Links between different components of a list, block against block.
+def _block_links(prefix: DataFrame, stars: DataFrame, reps: DataFrame, sets: DataFrame, percent: int, sketch: int, block: int, long: int | None) -> tuple[DataFrame, DataFrame | None]:
+    """Links between different components of a list, block against block, and the ``doc_id`` of lists left out as too long.
 
     Lists with the same large component do their work together, once: its documents against
     all documents of other components that share a list with it, and those among themselves.
@@ -240,8 +303,13 @@ def _block_links(prefix: DataFrame, stars: DataFrame, sets: DataFrame, percent:
     per = listed.groupBy("v", "comp").agg(F.count("*").alias("c"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("sig"))
     lists = per.groupBy("v").agg(F.sum("c").alias("size"), F.count("*").alias("comps"), F.max(F.struct("c", "comp")).alias("top"), F.sum("sig").alias("sig"))
     # A list of two was settled by its hub; of lists with the same members one is enough.
-    lists = lists.where("comps > 1 and size > 2").groupBy("size", "sig").agg(F.min_by(F.struct("v", "top"), "v").alias("l")).select("l.v", "l.top")
-    lists = cut(lists.select("v", F.col("top.comp").alias("main"), (F.col("top.c") >= 3).alias("large")), "lists")
+    lists = lists.where("comps > 1 and size > 2").groupBy("size", "sig").agg(F.min_by(F.struct("v", "top", "size"), "v").alias("l")).select("l.v", "l.top", (F.col("l.size") - F.col("l.top.c")).alias("rest"))
+    lists = cut(lists.select("v", F.col("top.comp").alias("main"), (F.col("top.c") >= 3).alias("large"), "rest"), "lists")
+    hot = None
+    if long is not None:
+        hot = cut(listed.join(lists.where(F.col("rest") >= long), "v").select("doc_id").distinct(), "hot")
+        hot = None if hot.isEmpty() else hot
+        lists = lists.where(F.col("rest") < long)
     placed = listed.join(lists, "v").select("large", F.when(F.col("large"), F.col("main")).otherwise(F.col("v")).alias("g"), "doc_id", "n", "comp", (F.col("comp") == F.col("main")).alias("is_main")).distinct()
     placed = cut(placed, "placed")
     blocks = cut(placed.groupBy("large", "g").agg(F.ceil(F.count_if("is_main") / block).cast("int").alias("mb"), F.ceil(F.count_if(~F.col("is_main")) / block).cast("int").alias("rb")), "blocks")
@@ -251,10 +319,16 @@ def _block_links(prefix: DataFrame, stars: DataFrame, sets: DataFrame, percent:
         placed.join(blocks, ["large", "g"])
         .select("large", "g", "doc_id", "n", "comp", at.alias("at"), F.explode(others).alias("o"))
         .select("large", "g", F.least("at", "o").alias("i"), F.greatest("at", "o").alias("j"), "doc_id", "n", "comp", F.when(F.col("at") == F.col("o"), 2).when(F.col("at") < F.col("o"), 0).otherwise(1).alias("side"))
-        .join(sets, "doc_id")
+        .join(reps.select("doc_id", "sketch"), "doc_id")
     )
+    place = ["large", "g", "i", "j"]
+
+    def near(pdf: pd.DataFrame) -> pd.DataFrame:
+        return block_candidates(pdf, percent, sketch)
 
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+    def confirm(pdf: pd.DataFrame) -> pd.DataFrame:
         return block_links(pdf, percent, sketch)
 
-    return rows.groupBy("large", "g", "i", "j").applyInPandas(kernel, "a long, b long").distinct()
+    likely = cut(rows.groupBy(*place).applyInPandas(near, rows.drop("sketch").schema), "likely")
+    found = likely.join(sets, "doc_id").groupBy(*place).applyInPandas(confirm, "a long, b long").distinct()
+    return cut(found, "blocklinks"), hot
