@@ -1,7 +1,7 @@
 """Language identification by nearest centroid.
 
-Character n-grams (one to three code units of the lower-cased UTF-8 text, blanks folded)
-hash into a fixed number of dimensions. A document's vector is its log-scaled counts times
+N-grams of one to four bytes of the UTF-8 text (A-Z lower-cased; runs of blanks, digits and
+ASCII punctuation folded to one blank) hash into a fixed number of dimensions. A document's vector is its log-scaled counts times
 inverse document frequency, normalised. Each language has several centroids, found by
 spherical k-means on its training rows; a document takes the language of the centroid of
 highest cosine, and is marked ``rejected`` when it is farther from every centroid than all
@@ -34,18 +34,25 @@ for _c in b"0123456789!\"#$%&()*+,-./:;<=>?@[]^_{|}~\\`":
 
 
 def counts_of(text: bytes, dims: int = DIMS) -> np.ndarray:
-    """Hashed counts of byte n-grams of length 1 to 4, over the whole text in bounded pieces."""
+    """Hashed counts of byte n-grams of length 1 to 4 over the whole text.
+
+    Long texts go in pieces that overlap by three bytes; each n-gram counts in the piece it
+    starts in, so the pieces leave no trace.
+    """
     out = np.zeros(dims, np.float64)
-    for at in range(0, len(text), PIECE):
-        x = _FOLD[np.frombuffer(text[at : at + PIECE + 3], np.uint8)].astype(np.uint32)
-        x = x[(x != 32) | np.concatenate(([True], x[1:] != 32))] if len(x) else x
-        acc = x.copy()
+    folded = _FOLD[np.frombuffer(text, np.uint8)]
+    if len(folded):
+        blank = folded == 32
+        folded = folded[~(blank & np.concatenate(([False], blank[:-1])))]
+    for at in range(0, len(folded), PIECE):
+        x = folded[at : at + PIECE + 3].astype(np.uint32)
+        acc = x
         for n in range(1, 5):
             if n > 1:
                 if len(acc) < 2:
                     break
                 acc = acc[:-1] * np.uint32(0x01000193) + x[n - 1 :]
-            h = ((acc ^ np.uint32(n * 0x9E3779B1 & 0xFFFFFFFF)) * np.uint32(0x85EBCA6B)) >> np.uint32(16)
+            h = ((acc[:PIECE] ^ np.uint32(n * 0x9E3779B1 & 0xFFFFFFFF)) * np.uint32(0x85EBCA6B)) >> np.uint32(16)
             out += np.bincount(h % np.uint32(dims), minlength=dims)
     return out
 
@@ -115,7 +122,9 @@ def fit(labelled: DataFrame, *, dims: int = DIMS, per_language: int = PER_LANGUA
     """
     usable = labelled.where(F.col("lang").isNotNull())
     rows = sample_by_class(usable, "lang", F.xxhash64(F.lit(seed), F.col("doc_id")), per_language, max_rows)
-    rows = rows.where(_has_letter()).select("lang", "key", "text").mapInArrow(_vectors(dims), "lang string, key long, packed binary").collect()
+    # Rows that repeat an id are one row of the sample, whose bound then holds whatever is repeated.
+    rows = rows.where(_has_letter()).groupBy("lang", "key").agg(F.min("text").alias("text"))
+    rows = rows.select("lang", "key", "text").mapInArrow(_vectors(dims), "lang string, key long, packed binary").collect()
     rows.sort(key=lambda r: (r["lang"], r["key"], bytes(r["packed"])))
     langs = [r["lang"] for r in rows]
     rows = [r for i, r in enumerate(rows) if i < per_language or langs[i - per_language] != langs[i]]
@@ -149,7 +158,9 @@ def identify(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", te
     """Rows ``(doc_id, lang_pred, score, rejected)``, one for each row of ``docs``.
 
     ``unknown`` where the text is null or has no letter, or without a model. Only id and
-    text are read. Repeated rows get the same answer; an empty table gives no rows.
+    text are read, whatever other columns are named. Texts count whole, however long. Ids are
+    whole numbers or null. Languages that tie go by their name. Repeated rows get the same
+    answer; an empty table gives no rows.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return base.withColumn("letter", _has_letter()).mapInArrow(_score(model, dims, unknown), "doc_id long, lang_pred string, score double, rejected boolean")

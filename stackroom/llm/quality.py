@@ -20,7 +20,7 @@ from stackroom.llm.sampling import sample_by_class
 
 DIMS = 1 << 15
 DENSE = 8
-PER_CLASS = 1000
+PER_CLASS = 1500
 THRESHOLD = 0.5
 PIECE = 1 << 20
 #: Characters that count as symbols.
@@ -62,15 +62,17 @@ def features(text: bytes | None, dims: int = DIMS) -> tuple[tuple[int, int, int,
     text = text or b""
     parts = [(h >> np.uint64(20)).astype(np.int64) % dims, (K.rolling(h, 2) >> np.uint64(20)).astype(np.int64) % dims]
     acc = np.zeros(dims, np.int64)
-    for at in range(0, len(text), PIECE):
+    for at in range(0, max(1, len(text)), PIECE):
+        # Pieces overlap by three bytes; an n-gram counts in the piece it starts in.
         x = np.frombuffer(text[at : at + PIECE + 3], np.uint8).astype(np.uint32)
         run = x
         for n in range(2, 5):
             if len(run) < 2:
                 break
             run = run[:-1] * np.uint32(0x01000193) + x[n - 1 :]
-            parts.append((((run ^ np.uint32(n * 0x9E3779B1 & 0xFFFFFFFF)) * np.uint32(0x85EBCA6B)) >> np.uint32(12)) % np.uint32(dims))
-        acc += np.bincount(np.concatenate(parts), minlength=dims)
+            parts.append((((run[:PIECE] ^ np.uint32(n * 0x9E3779B1 & 0xFFFFFFFF)) * np.uint32(0x85EBCA6B)) >> np.uint32(12)) % np.uint32(dims))
+        if parts:
+            acc += np.bincount(np.concatenate(parts), minlength=dims)
         parts = []
     at = np.nonzero(acc)[0]
     w = np.log1p(acc[at])
@@ -163,8 +165,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", dims: int
     small enough to broadcast. None (the base rules alone decide) unless both classes occur.
     """
     usable = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("long").alias("label"))
-    picked = sample_by_class(usable, "label", F.xxhash64(F.lit(seed), F.col("doc_id")), per_class, 2 * per_class)
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("label", "key", "text").mapInArrow(_vectors(dims), "label long, key long, packed binary").collect()
+    # Rows that repeat an id are one row of the sample, whose bound then holds whatever is repeated.
+    picked = sample_by_class(usable, "label", F.xxhash64(F.lit(seed), F.col("doc_id")), per_class, 2 * per_class).dropDuplicates(["label", "key"])
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("label", "key").agg(F.min("text").alias("text"))
+    rows = rows.mapInArrow(_vectors(dims), "label long, key long, packed binary").collect()
     rows.sort(key=lambda r: (r["key"], r["label"], bytes(r["packed"])))
     y = np.array([r["label"] for r in rows])
     if len(set(y.tolist())) < 2:
@@ -198,8 +202,10 @@ def _score(model, dims):
 def score(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", text_col: str = "text", dims: int = DIMS) -> DataFrame:
     """Base measures and verdict, one row for each row of ``docs``.
 
-    Null and empty texts have no words and fail the base rules. Repeated rows get the same
-    verdict; other columns are ignored; an empty table gives no rows.
+    Null and empty texts have no words and fail the base rules. Texts count whole, however
+    long. A probability at the threshold passes. Ids are whole numbers or null. Repeated rows
+    get the same verdict; other columns are ignored, whatever their names; an empty table
+    gives no rows.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return base.mapInArrow(_score(model, dims), "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, probability double")
