@@ -40,11 +40,26 @@ def test_language_edge_cases(spark, sf_dir):
     assert langid.identify(odd.limit(0), model).count() == 0
 
 
-def test_language_counts_do_not_depend_on_pieces(monkeypatch):
-    text = ("Abc déf ghij " * 50).encode()
-    whole = langid.counts_of(text)
-    monkeypatch.setattr(langid, "PIECE", 97)
-    assert abs(langid.counts_of(text).sum() - whole.sum()) <= 0.06 * whole.sum()
+@pytest.mark.parametrize("piece", [1, 2, 97, 256])
+def test_features_do_not_depend_on_pieces(monkeypatch, piece):
+    for text in ("Abc déf  ghij 12 " * 50, "", "a", "ab", "   ", "x" * 97):
+        text = text.encode()
+        lang, (base, at, w) = langid.counts_of(text), quality.features(text)
+        with monkeypatch.context() as m:
+            m.setattr(langid, "PIECE", piece)
+            m.setattr(quality, "PIECE", piece)
+            assert (langid.counts_of(text) == lang).all()
+            base2, at2, w2 = quality.features(text)
+            assert base2 == base and (at2 == at).all() and (w2 == w).all()
+
+
+def test_language_counts_match_brute_force():
+    text = "Abc,  déf! 9"
+    folded = b"abc d\xc3\xa9f "
+    grams = [folded[i : i + n] for n in range(1, 5) for i in range(len(folded) - n + 1)]
+    assert langid.counts_of(text.encode()).sum() == len(grams)
+    assert (langid.counts_of(text.encode()) == langid.counts_of(folded)).all()
+    assert sorted(x for x in langid.counts_of(folded).tolist() if x)[-1] == max(Counter(grams).values())
 
 
 def test_quality_base_matches_brute_force(spark, sf_dir):
@@ -105,7 +120,7 @@ def test_markov_models_tell_random_from_ordinary(spark, sf_dir):
     assert sum(r["hit"] for r in rows if not r["secret"]) <= 4
 
 
-def test_warc_round_trip(spark, sf_dir):
+def test_warc_round_trip(spark, sf_dir, tmp_path):
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     first = pages.orderBy("page_id").first()
     odd = spark.createDataFrame([(5001, "http://x/a\r\nb c", None), (5002, None, ""), (5003, "http://é/", first["html"]), (5004, "u", "é\r\n\r\nWARC/1.1"), (5003, "http://é/", first["html"]), (None, "n", "null id"), (5005, "z", "x" * 3_000_000)], "page_id long, url string, html string")
@@ -124,9 +139,13 @@ def test_warc_round_trip(spark, sf_dir):
         assert bytes(r["payload"]) == (body if r["record_type"] == "response" else b"")
     assert all(r["record_type"] == "revisit" and r["refers_to"] == first["page_id"] for r in by[5003]) and len(by[5003]) == 2
     assert by[5001][0]["record_type"] == "response" and by[5002][0]["refers_to"] == 5001 and by[None][0]["refers_to"] is None
-    wanted = everything.where("page_id in (0, 1, 5004)").select("page_id")
-    fetched = {r["page_id"]: bytes(r["payload"]).decode() for r in warc.fetch(bundles, wanted).collect()}
-    assert fetched == {p["page_id"]: p["html"] for p in everything.where("page_id in (0, 1, 5004)").collect()}
+    wanted = everything.where("page_id in (0, 1, 5002, 5003, 5004)").select("page_id")
+    want = sorted((p["page_id"], p["html"]) for p in everything.where("page_id in (0, 1, 5002, 5003, 5004)").collect())
+    assert sorted((r["page_id"], bytes(r["payload"]).decode()) for r in warc.fetch(bundles, wanted).collect()) == want
+    folder = f"file://{tmp_path}/archives"
+    assert warc.export(bundles, folder).count() == bundles.count()
+    assert sorted((r["page_id"], bytes(r["payload"]).decode()) for r in warc.fetch_files(warc.index_of(bundles), folder, wanted).collect()) == want
+    assert warc.fetch(bundles, wanted.limit(0)).count() == 0
     assert warc.write_archives(pages.limit(0)).count() == 0
 
 
