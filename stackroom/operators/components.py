@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from stackroom.session import cut, drop_scratch
 
 
+#: Edges that one task may hold.
+SMALL = 100_000
+
+
 def _contract(batches):
     """Replace the edges a task holds by a spanning forest of stars."""
     import pandas as pd
@@ -53,6 +57,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", *, contra
     edges with a null end are ignored; an edge list without edges gives no rows.
     ``contract`` first shrinks each task's edges with a union-find (memory bounded
     by flushing), which is only worth its Python worker where Python runs anyway.
+    Once no more than ``SMALL`` edges are left, one task's union-find ends the rounds.
     """
     spark = edges.sparkSession
     cur = (
@@ -65,6 +70,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", *, contra
         cur = cur.mapInPandas(_contract, cur.schema)
     cur = cut(cur.distinct(), "edges")
     for _ in range(max_rounds):
+        if cur.count() <= SMALL:
+            nxt = cut(cur.coalesce(1).mapInPandas(_contract, cur.schema), "stars")
+            drop_scratch(spark, cur)
+            cur = nxt
+            break
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = _neighbour_minimum(both)
         large = cut(

@@ -54,13 +54,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch_root(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only a session that has none (tests, a laptop) gets a local one.
+    Only a local session that has none (tests, a laptop) gets a folder of its machine; on a
+    cluster every executor would write to a disk of its own, so that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = jvm_dir.get() if jvm_dir.isDefined() else None
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + os.path.join(tempfile.gettempdir(), "stackroom-scratch")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
