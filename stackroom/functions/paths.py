@@ -23,14 +23,14 @@ TRANSIENT_SUFFIXES = (".crdownload", ".download", ".part", ".partial")
 # Kinds by extension.
 PACKAGE_EXTENSIONS = ("photoslibrary", "bundle", "framework", "xcodeproj", "docset", "playground", "rtfd", "draftsBundle", "moverbundle")
 KINDS = {
-    "archive": ("zip", "tar", "gz", "tgz", "bz2", "xz", "7z", "rar"),
-    "diskImage": ("dmg", "iso", "img"),
+    "archive": ("zip", "tar", "gz", "tgz", "bz2", "tbz", "tbz2", "xz", "txz", "lzma", "z", "7z", "rar", "jar", "war", "ear", "cpio", "pax", "xar", "aar", "cab", "zst"),
+    "diskImage": ("dmg", "iso", "img", "cdr", "udf", "sparseimage", "sparsebundle", "smi"),
     "pdf": ("pdf",),
-    "image": ("png", "jpg", "jpeg", "gif", "heic", "tiff", "bmp", "webp"),
-    "video": ("mp4", "mov", "m4v", "avi", "mkv", "webm"),
-    "audio": ("mp3", "wav", "m4a", "aac", "flac", "ogg", "aiff"),
-    "office": ("docx", "xlsx", "pptx", "xls", "ppt", "csv", "numbers", "key"),
-    "text": ("txt", "md", "rtf", "html", "htm", "json", "xml", "yaml", "yml", "css", "log", "c", "cc", "cpp", "cs", "go", "h", "hpp", "java", "js", "jsx", "kt", "m", "mm", "php", "py", "rb", "rs", "sh", "swift", "ts", "tsx", "sql"),
+    "image": ("png", "jpg", "jpeg", "jpe", "gif", "heic", "heif", "heics", "avif", "tiff", "tif", "bmp", "webp", "jp2", "jxl", "ico", "icns", "svg", "psd", "tga", "exr", "hdr", "dng", "cr2", "cr3", "nef", "arw", "raf", "orf", "rw2"),
+    "video": ("mp4", "mov", "m4v", "avi", "mkv", "webm", "mpg", "mpeg", "m2v", "3gp", "3g2", "wmv", "m2ts", "mts", "vob", "ogv", "flv", "qt"),
+    "audio": ("mp3", "mp2", "wav", "m4a", "m4b", "m4r", "aac", "flac", "ogg", "oga", "opus", "aiff", "aif", "aifc", "caf", "wma", "au", "amr", "mid", "midi"),
+    "office": ("docx", "xlsx", "pptx", "xls", "xlsm", "xlsb", "xltx", "ppt", "pps", "ppsx", "pptm", "potx", "ods", "odp", "numbers", "key"),
+    "text": ("txt", "text", "md", "markdown", "rst", "rtf", "html", "htm", "xhtml", "shtml", "json", "xml", "xsl", "yaml", "yml", "toml", "css", "csv", "tsv", "log", "tex", "vcf", "ics", "vtt", "srt", "diff", "patch", "c", "cc", "cpp", "cxx", "cs", "go", "h", "hh", "hpp", "java", "js", "mjs", "jsx", "kt", "m", "mm", "php", "pl", "pm", "py", "rb", "rs", "s", "asm", "f", "f90", "pas", "r", "lua", "scala", "sh", "bash", "zsh", "csh", "command", "swift", "ts", "tsx", "sql"),
 }
 
 

@@ -158,3 +158,13 @@ def model_json(text: Column, allowed: list[str], limit: int = 6) -> Column:
     parsed = F.from_json(body, "categories array<string>, confidence double")
     kept = F.slice(F.filter(F.coalesce(parsed["categories"], F.array().cast("array<string>")), lambda c: c.isin(*allowed)), 1, limit)
     return F.struct(kept.alias("categories"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(parsed["confidence"], F.lit(0.0)))).alias("confidence"))
+
+
+def encoded(value: Column) -> Column:
+    """An array, map or struct as JSON text; null stays null."""
+    return F.to_json(value)
+
+
+def decoded(text: Column, kind: str) -> Column:
+    """The array, map or struct of type ``kind`` that JSON text holds; null where it holds none."""
+    return F.from_json(text, kind)

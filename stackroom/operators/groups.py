@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from stackroom.functions import taxonomy as X
 from stackroom.functions.paths import category_path
 from stackroom.operators.similarity import NEAR
+from stackroom.session import cut, drop_scratch
 
 
 def members_by_category(memberships: DataFrame) -> DataFrame:
@@ -71,16 +72,24 @@ def semantic_titles(families: DataFrame, pairs: DataFrame) -> DataFrame:
     return support.groupBy("family").agg(F.min_by(F.col("s.title"), F.struct(-F.col("n"), F.col("path"))).alias("title")).select("family", F.concat(F.lit("Related "), "title").alias("title"))
 
 
-def category_paths(categories: DataFrame, spark_view: str = "stackroom_categories") -> DataFrame:
-    """``(id, path)`` from an adjacency list ``(id, name, parent_id)``, by a recursive query."""
-    categories.createOrReplaceTempView(spark_view)
-    return categories.sparkSession.sql(
-        f"""WITH RECURSIVE tree(id, path) AS (
-              SELECT id, name FROM {spark_view} WHERE parent_id IS NULL
-              UNION ALL
-              SELECT c.id, concat(t.path, '/', c.name) FROM {spark_view} c JOIN tree t ON c.parent_id = t.id)
-            SELECT id, path FROM tree"""
-    )
+def category_paths(categories: DataFrame, max_rounds: int = 40) -> DataFrame:
+    """``(id, path)`` from an adjacency list ``(id, name, parent_id)``; nodes below a missing parent drop out.
+
+    Every round joins each node's path to that of the node above what it covers, so paths double
+    in length: a tree of depth d takes log2(d) rounds, whatever its size. A cycle is an error.
+    """
+    spark = categories.sparkSession
+    cur = cut(categories.select("id", F.col("name").alias("path"), F.col("parent_id").alias("up")), "paths")
+    for _ in range(max_rounds):
+        if cur.where("up is not null").isEmpty():
+            return cur.select("id", "path")
+        above = cur.select(F.col("id").alias("up"), F.col("path").alias("above"), F.col("up").alias("further"))
+        rooted = cur.where("up is null")
+        joined = cur.where("up is not null").join(above, "up").select("id", F.concat_ws("/", "above", "path").alias("path"), F.col("further").alias("up"))
+        nxt = cut(rooted.unionByName(joined), "paths")
+        drop_scratch(spark, cur)
+        cur = nxt
+    raise RuntimeError("the categories have a cycle")
 
 
 def ensure_categories(paths: DataFrame, col: str = "category_path") -> DataFrame:

@@ -42,22 +42,25 @@ def unseen(files: DataFrame, seen: DataFrame, root: str) -> DataFrame:
     return files.where(P.under(F.col("path"), root) & ~F.col("status").isin("missing", "unscoped")).join(seen.select("path"), "path", "left_anti")
 
 
-def missing_sweep(files: DataFrame, seen: DataFrame, root: str, *, excluded: list[str] = (), unreadable: list[str] = (), complete: bool = True) -> DataFrame:
-    """``files`` with status ``missing`` where a complete scan proves absence.
-
-    Rows under excluded or unreadable prefixes or excluded directories keep their status; an
-    incomplete scan changes nothing.
-    """
-    if not complete:
-        return files
+def swept(files: DataFrame, seen: DataFrame, root: str, *, excluded: list[str] = (), unreadable: list[str] = ()) -> DataFrame:
+    """Paths that a complete scan proves absent: not under excluded or unreadable prefixes or excluded directories."""
     path = F.col("path")
     gone = unseen(files, seen, root).where(~P.excluded_directory(path))
     for prefix in [*excluded, *unreadable]:
         gone = gone.where(~P.under(path, prefix))
+    return gone.select("path")
+
+
+def mark_missing(files: DataFrame, gone: DataFrame) -> DataFrame:
     marked = files.join(gone.select("path", F.lit(True).alias("gone")), "path", "left")
     return marked.withColumn("status", F.when(F.coalesce("gone", F.lit(False)), "missing").otherwise(F.col("status"))).drop("gone").select(*files.columns)
 
 
+def missing_sweep(files: DataFrame, seen: DataFrame, root: str, *, excluded: list[str] = (), unreadable: list[str] = (), complete: bool = True) -> DataFrame:
+    """``files`` with status ``missing`` where a complete scan proves absence; an incomplete scan changes nothing."""
+    return mark_missing(files, swept(files, seen, root, excluded=excluded, unreadable=unreadable)) if complete else files
+
+
 def set_scope(files: DataFrame, root: str, in_scope: bool) -> DataFrame:
     """Unscope a removed root's rows, or send them back to ``pending``."""
     hit = P.under(F.col("path"), root)
@@ -121,11 +124,18 @@ def classify_deltas(outcomes: DataFrame) -> DataFrame:
 
 
 def reclassify(stored: DataFrame, overrides: DataFrame, rules: DataFrame) -> DataFrame:
-    """Classification-only run: base categories, then rules, then manual overrides, which have the last word."""
+    """Classification-only run: base categories, then rules, then manual overrides, which have the last word.
+
+    A result that breaks the contract is left out, so that what is stored stays.
+    """
+    from stackroom.functions.labels import contract_ok
     from stackroom.operators.learning import apply_overrides, enrich
 
     enriched = enrich(stored.withColumn("categories", F.col("base_categories")), rules)
-    return apply_overrides(enriched, overrides)
+    out = apply_overrides(enriched, overrides)
+    confidence = stored.select("file_id", (F.col("confidence") if "confidence" in stored.columns else F.lit(0.55)).alias("__confidence"))
+    checked = out.join(confidence, "file_id")
+    return checked.where(contract_ok(F.col("file_id"), F.col("categories"), F.lit(""), F.col("reasons"), F.col("__confidence"))).drop("__confidence")
 
 
 def latest(rows: DataFrame, key: list[str], order: str) -> DataFrame:

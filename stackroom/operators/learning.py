@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,34 +69,57 @@ def promote_rules(corrections: DataFrame, *, threshold: int = 3, existing: DataF
 
 
 def apply_overrides(classified: DataFrame, overrides: DataFrame) -> DataFrame:
-    """``classified`` (file_id, categories) after manual decisions: additions, removals, terminal unknown."""
-    rows = overrides.groupBy("file_id").agg(
-        F.bool_or((F.col("category") == UNKNOWN) & (F.col("action") == "addCategory")).alias("unknown"),
-        F.transform(F.array_sort(F.collect_list(F.when(F.col("action") == "addCategory", F.struct("updated", "category")))), lambda r: r["category"]).alias("added"),
-        F.collect_set(F.when(F.col("action") == "removeCategory", F.col("category"))).alias("removed"),
-    )
+    """``classified`` (file_id, categories) after manual decisions in the order they were made.
+
+    A removal takes a category away, an addition puts it at the end unless it is there; adding
+    ``Review/Unknown`` is the end of it.
+    """
+    step = F.struct("updated", "category", "action")
+    rows = overrides.where(F.col("action").isin("addCategory", "removeCategory")).groupBy("file_id").agg(F.array_sort(F.collect_list(step)).alias("steps"))
     joined = classified.join(rows, "file_id", "left")
-    none = F.array().cast("array<string>")
-    merged = F.array_distinct(F.array_except(F.concat("categories", F.coalesce("added", none)), F.coalesce("removed", none)))
-    return joined.withColumn("categories", F.when(F.coalesce("unknown", F.lit(False)), F.array(F.lit(UNKNOWN))).otherwise(merged)).drop("unknown", "added", "removed")
+
+    def walk(own, r):
+        unknown = F.array_contains(own, UNKNOWN) & (F.size(own) == 1)
+        fresh = F.when(r["category"] == UNKNOWN, F.array(F.lit(UNKNOWN))).otherwise(F.array_distinct(F.array_append(own, r["category"])))
+        without = F.filter(own, lambda x: x != r["category"])
+        return F.when(unknown, own).when(r["action"] == "addCategory", fresh).otherwise(without)
+
+    final = F.aggregate("steps", F.array_distinct("categories"), walk)
+    return joined.withColumn("categories", F.when(F.col("steps").isNull(), F.array_distinct("categories")).otherwise(final)).drop("steps")
+
+
+#: Rules that one broadcast may hold.
+RULES_AT_ONCE = 10_000
 
 
 def enrich(files: DataFrame, rules: DataFrame) -> DataFrame:
     """``(file_id, categories, reasons)``: enabled rules add their categories and a reason each, in rule order.
 
-    The rule table is small (a person confirms each rule), so it is broadcast after a size check.
+    A pattern may lie anywhere in a path, so there is no key to join by: rules are broadcast, in
+    parts of about ``RULES_AT_ONCE``, however many there are.
     """
     active = rules.where("enabled").select("id", "pattern_type", "pattern", "target_category")
-    if active.count() <= 10_000:
-        active = F.broadcast(active)
-    hit = files.select("file_id", "path", F.coalesce("evidence", F.lit("")).alias("evidence")).join(active, pattern_matches(F.col("pattern_type"), F.col("pattern"), F.col("path"), F.col("evidence")))
-    found = hit.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("id", "target_category"))).alias("hits"))
+    parts = max(1, -(-active.count() // RULES_AT_ONCE))
+    slim = files.select("file_id", "path", F.coalesce("evidence", F.lit("")).alias("evidence"))
+    test = pattern_matches(F.col("pattern_type"), F.col("pattern"), F.col("path"), F.col("evidence"))
+    met = (slim.join(F.broadcast(active.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == k)), test) for k in range(parts))
+    found = reduce(DataFrame.unionByName, met).groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("id", "target_category"))).alias("hits"))
     joined = files.join(found, "file_id", "left")
     none = F.array().cast("array<struct<id:bigint,target_category:string>>")
     hits = F.coalesce("hits", none)
     return joined.select("file_id", F.array_distinct(F.concat("categories", F.transform(hits, lambda h: h["target_category"]))).alias("categories"), F.transform(hits, lambda h: F.concat(F.lit("learned:"), h["id"], F.lit(":"), h["target_category"])).alias("reasons"))
 
 
+def all_rules(rules: DataFrame, enabled_only: bool = False) -> DataFrame:
+    """Every rule, or the enabled ones, by id."""
+    return (rules.where("enabled") if enabled_only else rules).orderBy("id")
+
+
+def queued_files(queue: DataFrame, files: DataFrame) -> DataFrame:
+    """``(file_id, path, enqueued)`` of the re-index queue; entries of files that are gone drop out."""
+    return queue.join(files.select("file_id", "path"), "file_id").select("file_id", "path", "enqueued")
+
+
 def reindex_queue(files: DataFrame, rule: dict, now: float) -> DataFrame:
     """``(file_id, enqueued)`` of the files that a toggled rule could touch; metadata rules touch all."""
     live = files.where(F.col("status") != "unscoped")
@@ -118,8 +143,30 @@ def delete_rule(rules: DataFrame, files: DataFrame, rule: dict, now: float) -> t
     return flipped.where(F.col("id") != rule["id"]), cleared, queue
 
 
-def review_correction(corrections: DataFrame, files: DataFrame, decisions: DataFrame, provenance: str = "review") -> DataFrame:
-    """The evidence log after decisions ``(file_id, category, action, created)``: patterns come from paths."""
-    known = decisions.join(files, "file_id").withColumn("p", derive_pattern(F.col("path")))
+def evidence_rows(files: DataFrame, decisions: DataFrame, provenance: str) -> DataFrame:
+    """Rows of the evidence log for decisions ``(file_id, category, action, created)``: patterns come from paths."""
+    known = decisions.join(files.select("file_id", "path", "size", "mtime"), "file_id").withColumn("p", derive_pattern(F.col("path")))
     rows = known.select("file_id", F.when(F.col("action") == "markUnknown", UNKNOWN).otherwise(F.trim("category")).alias("category"), "action", F.col("p.pattern_type").alias("pattern_type"), F.col("p.pattern").alias("pattern"), generation_key("file_id", "size", "mtime").alias("generation"), "created", F.lit(provenance).alias("provenance"))
-    return corrections.unionByName(rows.where("category <> ''"), allowMissingColumns=True)
+    return rows.where("category <> ''")
+
+
+def review_correction(catalog: dict[str, DataFrame], decisions: DataFrame, *, provenance: str = "review", threshold: int = 3) -> dict[str, DataFrame]:
+    """The tables that a review's decisions change, as one set.
+
+    ``catalog`` holds ``files``, ``corrections`` (the evidence log), ``category_overrides``,
+    ``classifications``, ``learned_rules`` and ``audit``. Each decision becomes evidence, an
+    override (the last one of a file and category counts; "unknown" adds the unknown category)
+    and an audit row; the categories of its file follow, and evidence that suffices promotes rules.
+    """
+    rows = evidence_rows(catalog["files"], decisions, provenance)
+    corrections = catalog["corrections"].unionByName(rows, allowMissingColumns=True)
+    action = F.when(F.col("action") == "markUnknown", "addCategory").when(F.col("action") == "wrongCategory", "removeCategory").otherwise(F.col("action"))
+    fresh = rows.groupBy("file_id", "category").agg(F.max_by(action, "created").alias("action"), F.max("created").alias("updated"))
+    old = catalog["category_overrides"]
+    overrides = old.join(fresh.select("file_id", "category"), ["file_id", "category"], "left_anti").unionByName(fresh, allowMissingColumns=True)
+    touched = catalog["classifications"].join(rows.select("file_id").distinct(), "file_id", "left_semi")
+    changed = apply_overrides(touched.select("file_id", "categories"), overrides)
+    classifications = catalog["classifications"].join(changed.withColumnRenamed("categories", "__new"), "file_id", "left").withColumn("categories", F.coalesce("__new", "categories")).drop("__new").select(*catalog["classifications"].columns)
+    promoted = promote_rules(corrections, threshold=threshold, existing=catalog["learned_rules"])
+    audit = catalog["audit"].unionByName(rows.select("file_id", "action", "category", "created", "provenance"), allowMissingColumns=True)
+    return {"corrections": corrections, "category_overrides": overrides, "classifications": classifications, "learned_rules": promoted, "audit": audit}

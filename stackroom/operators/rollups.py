@@ -35,8 +35,8 @@ def review_page(inbox: DataFrame, files: DataFrame, classifications: DataFrame,
     return joined.select("file_id", "path", "reason", F.coalesce("categories", F.array().cast("array<string>")).alias("categories"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), "updated").orderBy(F.desc("updated"), "file_id").limit(max(1, limit))
 
 
-def dashboard(files: DataFrame, inbox: DataFrame, categories: DataFrame, hashes: DataFrame, graph_edges: DataFrame) -> DataFrame:
-    """Seven scalars from five tables."""
+def dashboard(files: DataFrame, inbox: DataFrame, categories: DataFrame, hashes: DataFrame, edge_count: DataFrame) -> DataFrame:
+    """Seven scalars from five tables; ``edge_count`` is one row ``(graph_edges)``."""
     indexed = files.where("status = 'indexed'").select("file_id")
     groups = hashes.join(indexed, "file_id", "left_semi").groupBy("size", "sha256").count().where("count > 1")
     parts = [
@@ -44,7 +44,7 @@ def dashboard(files: DataFrame, inbox: DataFrame, categories: DataFrame, hashes:
         inbox.agg(F.count_if(F.col("state") == "open").alias("review")),
         categories.agg(F.count_if(F.col("path") != "Review").alias("categories")),
         groups.agg(F.count("*").alias("duplicate_groups")),
-        graph_edges.agg(F.count("*").alias("graph_edges")),
+        edge_count.select("graph_edges"),
     ]
     return reduce(DataFrame.crossJoin, parts)  # one-row aggregates
 

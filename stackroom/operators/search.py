@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from stackroom.functions import text as T
 from stackroom.functions import vectors as V
+from stackroom.session import cut
 
 LIMIT = 50
 LOW_CONFIDENCE = 0.45
@@ -47,17 +49,46 @@ def phrase_hits(texts: DataFrame, phrase: str, *, id_col: str = "file_id", text_
     return hits.withColumn("at", at).select("file_id", F.size("at").alias("tf"), F.size("tokens").alias("length"), F.get("at", 0).alias("position"), "tokens")
 
 
+def _measured(texts: DataFrame, phrase: str, id_col: str, text_col: str) -> DataFrame:
+    """``(file_id, length, tf, snippet)`` of every text, from one tokenisation; the snippet only where the phrase is."""
+    words = max(1, len(T.query_tokens(phrase)))
+    toks = texts.select(F.col(id_col).alias("file_id"), T.tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("tokens"))
+    at = F.when(T.contains_phrase(F.col("tokens"), phrase), T.phrase_positions(F.col("tokens"), phrase)).otherwise(F.array().cast("array<int>"))
+    return toks.withColumn("at", at).select("file_id", F.size("tokens").alias("length"), F.size("at").alias("tf"), F.when(F.size("at") > 0, T.snippet(F.col("tokens"), F.get("at", 0), words)).alias("snippet"))
+
+
+def _ranked(hits: DataFrame, stats: DataFrame) -> DataFrame:
+    """``(file_id, tf, rank, ...)`` of hits ``(file_id, tf, length, ...)``; ``stats`` is one row ``(docs, avg_length, df)``."""
+    rank = F.round(T.bm25(F.col("tf"), F.col("length"), F.col("docs"), F.col("df"), F.col("avg_length")), 6)
+    return hits.crossJoin(F.broadcast(stats)).select("file_id", "tf", rank.alias("rank"), *[c for c in hits.columns if c not in ("file_id", "tf", "length")])
+
+
+def _hits(texts: DataFrame, phrase: str, id_col: str, text_col: str) -> DataFrame:
+    if not T.query_tokens(phrase):
+        return texts.select(F.col(id_col).alias("file_id"), F.lit(0).alias("tf"), F.lit(0.0).alias("rank"), F.lit("").alias("snippet")).limit(0)
+    every = cut(_measured(texts, phrase, id_col, text_col), "measured")
+    stats = every.agg(F.count("*").alias("docs"), F.avg("length").alias("avg_length"), F.count_if(F.col("tf") > 0).alias("df"))
+    return _ranked(every.where("tf > 0").select("file_id", "tf", "length", "snippet"), stats)
+
+
 def bm25_search(texts: DataFrame, phrase: str, *, id_col: str = "file_id", text_col: str = "body", limit: int | None = LIMIT) -> DataFrame:
     """``(file_id, tf, rank, snippet)``, best (smallest) rank first, ties by id."""
-    hits = phrase_hits(texts, phrase, id_col=id_col, text_col=text_col)
-    corpus = texts.select(F.size(T.tokens(F.coalesce(F.col(text_col), F.lit("")))).alias("n")).agg(F.count("*").alias("docs"), F.avg("n").alias("avg_length"))
-    df = hits.agg(F.count("*").alias("df"))
-    words = max(1, len(T.query_tokens(phrase)))
-    ranked = hits.crossJoin(F.broadcast(corpus.crossJoin(df)))  # two one-row aggregates
-    out = ranked.select("file_id", "tf", F.round(T.bm25(F.col("tf"), F.col("length"), F.col("docs"), F.col("df"), F.col("avg_length")), 6).alias("rank"), T.snippet(F.col("tokens"), F.col("position"), words).alias("snippet"))
+    out = _hits(texts, phrase, id_col, text_col)
     return out.orderBy("rank", "file_id").limit(limit) if limit is not None else out
 
 
+def _merged(live: DataFrame, written: DataFrame, spoken: DataFrame, limit: int) -> DataFrame:
+    """Text hits, then transcript hits of files not among them: the first few of each source, then of both.
+
+    Transcripts count only if all text hits show, so the texts that show say which files to leave out.
+    """
+    order = ["rank", "file_id"]
+    first = cut(written.join(live, "file_id").groupBy("file_id", "path").agg(F.min(F.struct("rank", "snippet")).alias("b")).select("file_id", "path", F.lit(0).alias("src"), "b.*").orderBy(*order).limit(limit), "written")
+    best = spoken.join(live, "file_id").join(F.broadcast(first.select("file_id")), "file_id", "left_anti")  # at most ``limit`` rows
+    second = best.groupBy("file_id", "path").agg(F.min(F.struct("rank", "snippet")).alias("b")).select("file_id", "path", F.lit(1).alias("src"), "b.*").orderBy(*order).limit(limit)
+    return first.unionByName(second).select("file_id", "path", "src", "rank", "snippet").orderBy("src", *order).limit(limit)
+
+
 def exact_search(files: DataFrame, texts: DataFrame, transcripts: DataFrame, phrase: str, limit: int = LIMIT) -> DataFrame:
     """Text hits, then transcript hits of files not among them; indexed files only, ``limit`` in all.
 
@@ -66,11 +97,29 @@ def exact_search(files: DataFrame, texts: DataFrame, transcripts: DataFrame, phr
     if limit <= 0 or not T.query_tokens(phrase):
         limit = 0
     live = files.where(F.col("status") == "indexed").select("file_id", "path")
-    hit = lambda df, col, src: bm25_search(df.where(F.trim(col) != ""), phrase, text_col=col, limit=None).withColumn("src", F.lit(src))
-    spoken = hit(transcripts, "text", 1)
-    best = Window.partitionBy("file_id").orderBy("src", "rank", "snippet")
-    both = hit(texts, "body", 0).unionByName(spoken).join(live, "file_id").withColumn("n", F.row_number().over(best)).where("n = 1")
-    return both.select("file_id", "path", "src", "rank", "snippet").orderBy("src", "rank", "file_id").limit(limit)
+    hit = lambda df, col: _hits(df.where(F.trim(col) != ""), phrase, "file_id", col)
+    return _merged(live, hit(texts, "body"), hit(transcripts, "text"), limit)
+
+
+def build_index(texts: DataFrame, *, id_col: str = "file_id", text_col: str = "body") -> dict[str, DataFrame]:
+    """A text index as tables to publish: ``postings`` and ``lengths`` ``(file_id, length)``. Blank texts are not indexed."""
+    own = texts.where(F.trim(text_col) != "").select(F.col(id_col).alias("file_id"), T.tokens(F.col(text_col)).alias("t"))
+    return {"postings": postings(texts, id_col=id_col, text_col=text_col), "lengths": own.select("file_id", F.size("t").alias("length"))}
+
+
+def update_index(index: dict[str, DataFrame], texts: DataFrame, touched: DataFrame, *, id_col: str = "file_id", text_col: str = "body") -> dict[str, DataFrame]:
+    """The index after files changed: all entries of ``touched`` files go, those of ``texts`` come."""
+    gone = touched.select("file_id").distinct()
+    fresh = build_index(texts, id_col=id_col, text_col=text_col)
+    return {k: index[k].join(gone, "file_id", "left_anti").unionByName(fresh[k]) for k in index}
+
+
+def search_index(index: dict[str, DataFrame], phrase: str, limit: int | None = LIMIT) -> DataFrame:
+    """``(file_id, tf, rank)`` from the index alone: the phrase's terms and the lengths are read, no text."""
+    hits = phrase_from_postings(index["postings"], phrase)
+    stats = index["lengths"].agg(F.count("*").alias("docs"), F.avg("length").alias("avg_length")).crossJoin(hits.agg(F.count("*").alias("df")))  # one-row aggregates
+    out = _ranked(hits, stats)
+    return out.orderBy("rank", "file_id").limit(limit) if limit is not None else out
 
 
 def transcript_text(segments: DataFrame) -> DataFrame:
@@ -176,10 +225,37 @@ def first_non_empty(*results: DataFrame) -> DataFrame:
     return results[-1]
 
 
-def cosine_matrix_recall(texts: DataFrame, images: DataFrame, labels: int) -> DataFrame:
-    """Recall@1 of texts ``(label, vector)`` against images ``(column, vector)``; a column's label is its number modulo ``labels``."""
-    norm = lambda v: F.greatest(F.sqrt(V.dot(F.col(v), F.col(v))), F.lit(1e-12))
-    pairs = texts.select("label", F.col("vector").alias("tv")).crossJoin(images.select("column", F.col("vector").alias("iv")))
-    scored = pairs.withColumn("score", V.dot(F.col("tv"), F.col("iv")) / (norm("tv") * norm("iv")))
-    best = scored.groupBy("label").agg(F.max_by("column", F.struct("score", -F.col("column"))).alias("column"))
-    return best.agg(F.avg((F.col("column") % labels == F.col("label")).cast("double")).alias("recall_at_1"))
+def image_search(files: DataFrame, vectors: DataFrame, image_id: str, *, model: str, threshold: float = 0.30, k: int = 20) -> DataFrame:
+    """``(file_id, path, score)`` of the images nearest to one of them, which is left out; no rows if it has no vector."""
+    own = vectors.where((F.col("file_id") == image_id) & (F.col("model") == model)).select(F.col("vector").alias("query"), F.size("vector").alias("dim")).limit(1)
+    others = vectors.where((F.col("model") == model) & (F.col("file_id") != image_id)).withColumn("dim", F.size("vector"))
+    scored = others.join(F.broadcast(own), "dim").select("file_id", V.cosine_unit(F.col("vector"), F.col("query")).alias("score"))
+    best = scored.where(F.col("score") >= threshold).groupBy("file_id").agg(F.max("score").alias("score"))
+    live = files.where(F.col("status") == "indexed").select("file_id", "path")
+    return best.join(live, "file_id").select("file_id", "path", "score").orderBy(F.desc("score"), "path").limit(k)
+
+
+def cosine_matrix_recall(texts: DataFrame, images: DataFrame, labels: int, block: int = 1024) -> DataFrame:
+    """Recall@1 of texts ``(label, vector)`` against images ``(column, vector)``; a column's label is its number modulo ``labels``.
+
+    Both sides are dealt into blocks; a pair of blocks is one matrix product, of which each
+    text's best column leaves the task.
+    """
+    dealt = lambda df, key, n: df.withColumn("at", F.pmod(F.xxhash64(key), F.lit(n)).cast("int"))
+    blocks = lambda df: max(1, -(-df.count() // block))
+    nt, ni = blocks(texts), blocks(images)
+    left = dealt(texts, "label", nt).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(ni - 1)))).select(F.col("at").alias("i"), F.col("o").alias("j"), F.lit(True).alias("text"), F.col("label").cast("long").alias("number"), "vector")
+    right = dealt(images, "column", ni).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(nt - 1)))).select(F.col("o").alias("i"), F.col("at").alias("j"), F.lit(False).alias("text"), F.col("column").cast("long").alias("number"), "vector")
+
+    def best(pdf: pd.DataFrame) -> pd.DataFrame:
+        t, m = pdf[pdf["text"]], pdf[~pdf["text"]].sort_values("number", kind="mergesort")
+        if t.empty or m.empty:
+            return pd.DataFrame({"label": pd.Series(dtype="int64"), "column": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+        unit = lambda v: (x := np.array(v.tolist(), np.float64)) / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        score = unit(t["vector"]) @ unit(m["vector"]).T
+        at = score.argmax(axis=1)  # the first of equals: the smallest column
+        return pd.DataFrame({"label": t["number"].to_numpy(), "column": m["number"].to_numpy()[at], "score": score[np.arange(len(t)), at]})
+
+    met = left.unionByName(right).groupBy("i", "j").applyInPandas(best, "label long, column long, score double")
+    one = met.groupBy("label").agg(F.max_by("column", F.struct("score", -F.col("column"))).alias("column"))
+    return one.agg(F.avg((F.col("column") % labels == F.col("label")).cast("double")).alias("recall_at_1"))

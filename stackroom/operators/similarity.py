@@ -43,6 +43,12 @@ def exact_edges(nodes: DataFrame, changed: DataFrame | None = None) -> DataFrame
     return left.join(right, "exact_hash").where(test).select("a", "b", F.lit(1.0).alias("score"), *_edge(NEAR, "exactHash"))
 
 
+def exact_edge_count(nodes: DataFrame) -> DataFrame:
+    """One row ``(graph_edges)``: how many edges :func:`exact_edges` has, without making them."""
+    sizes = nodes.where("exact_hash is not null").groupBy("exact_hash").agg(F.count("*").alias("n"))
+    return sizes.agg(F.coalesce(F.sum(F.expr("n * (n - 1) div 2")), F.lit(0)).cast("long").alias("graph_edges"))
+
+
 def exact_family_edges(nodes: DataFrame) -> DataFrame:
     """The same components with one edge a node: each to the smallest of its hash. For large families."""
     own = nodes.where("exact_hash is not null")
@@ -50,8 +56,9 @@ def exact_family_edges(nodes: DataFrame) -> DataFrame:
     return own.join(first, "exact_hash").where("id <> b").select(F.col("b").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("score"), *_edge(NEAR, "exactHash"))
 
 
-def feature_edges(nodes: DataFrame, *, threshold: float = 0.50, scorer: Callable[[Column, Column], Column] = V.position_agreement, changed: DataFrame | None = None, blocks: int = 16) -> DataFrame:
-    """Edges between feature prints ``(id, feature)`` whose score reaches the threshold (exact, all pairs, in blocks)."""
+def feature_edges(nodes: DataFrame, *, threshold: float = 0.50, scorer: Callable[[Column, Column], Column] = V.position_agreement, changed: DataFrame | None = None, block: int = 2048) -> DataFrame:
+    """Edges between feature prints ``(id, feature)`` whose score reaches the threshold (exact, all pairs, in blocks of about ``block``)."""
+    blocks = max(1, -(-nodes.where("feature is not null").count() // block))
     pairs = _pairs(nodes.where("feature is not null").select("id", F.col("feature").alias("x")), changed, blocks)
     return pairs.select("a", "b", scorer(F.col("xa"), F.col("xb")).cast("double").alias("score")).where(F.col("score") >= threshold).select("a", "b", "score", *_edge(NEAR, "featurePrint"))
 
@@ -112,7 +119,7 @@ def _pairs(nodes: DataFrame, changed: DataFrame | None, blocks: int, keys: list[
     """Pairs a < b of nodes, or of changed nodes with all others, by an equi-join on block pairs.
 
     Each node goes to ``blocks`` of the block pairs, so every pair meets exactly once, in a
-    task that holds 2 / blocks of the rows: no broadcast and no cross join.
+    task that holds two blocks: no broadcast and no cross join.
     """
     keys = keys or []
     own = nodes.withColumn("k", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
@@ -147,6 +154,12 @@ def lsh_embedding_edges(vectors: DataFrame, *, threshold: float = 0.75, dim: int
     return met.select("a", "b", "model", V.cosine_unit(F.col("xa"), F.col("xb")).alias("score")).where(F.col("score") >= threshold).select("a", "b", "score", *_edge(SEMANTIC, F.concat(F.lit("embedding:"), F.col("model"))))
 
 
+def edge_scan(edges: DataFrame, relation: str | None = None) -> DataFrame:
+    """Edges, of one relation if named, ordered by ends, relation and signal."""
+    rows = edges if relation is None else edges.where(F.col("relation") == relation)
+    return rows.orderBy("a", "b", "relation", "signal")
+
+
 def build_edges(*adapters: DataFrame) -> DataFrame:
     """The union of what adapters found, canonical."""
     return canonical(reduce(DataFrame.unionByName, adapters))
@@ -194,6 +207,18 @@ def updated_edges(edges: DataFrame, changed: DataFrame, removed: DataFrame, resc
     return canonical(edges.select("a", "b", "score", "relation", "signal").unionByName(rescored.select("a", "b", "score", "relation", "signal")))
 
 
+def update_graph(edges: DataFrame, nodes: DataFrame, vectors: DataFrame, changed: DataFrame, removed: DataFrame, *, threshold: float = 0.75, min_score: float = 0.50) -> tuple[DataFrame, DataFrame]:
+    """``(edges, clusters)`` after files changed or went: their edges go, they are scored anew, all is clustered again.
+
+    ``nodes`` ``(id, exact_hash)`` and ``vectors`` ``(id, model, vector)`` are the current ones.
+    """
+    gone = lambda df: df.join(removed.select("id").distinct(), "id", "left_anti")
+    touched = gone(changed.select("id").distinct())
+    rescored = build_edges(exact_edges(gone(nodes), touched).select("a", "b", "score", "relation", "signal"), embedding_edges(gone(vectors), threshold=threshold, changed=touched))
+    after = cut(updated_edges(edges, changed, removed, rescored), "edges")
+    return after, clusters(after, min_score=min_score)
+
+
 def wide_nodes(files: DataFrame, hashes: DataFrame, features: DataFrame, vectors: DataFrame, classifications: DataFrame) -> DataFrame:
     """One row for each indexed file: hash, feature print, model -> vector map, confidence (0 by default)."""
     maps = vectors.groupBy("file_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("model", "vector")))).alias("embeddings"))

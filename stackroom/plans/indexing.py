@@ -1,12 +1,15 @@
 """The write path: scan, gate, extract, classify, sweep and summarise as one set of table changes.
 
-Only rows that pass the gate are extracted and classified. The result is a dictionary of new
-tables; :func:`stackroom.sources.tables.publish` writes each as a whole.
+The gate sees paths, sizes and times; contents are read only for rows that pass it, and only
+what is derived from them (digest, text sample) is kept or shuffled. The result is a dictionary
+of the tables that change; :func:`stackroom.sources.tables.commit` writes them at once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stackroom.functions import labels as L
@@ -16,37 +19,52 @@ from stackroom.operators import incremental as I
 from stackroom.operators import learning as R
 from stackroom.operators import rollups as U
 from stackroom.schemas import conform
-from stackroom.session import cut
+from stackroom.session import bloom_joins, cut
 from stackroom.sources import tables as ST
 from stackroom.sources.files import text_sample
 
 EXTRACTED = 200_000
 
 
-def index_root(scanned: DataFrame, catalog: dict[str, DataFrame], root: str, *, version: str = "v1", now: float = 0.0, complete: bool = True, excluded: list[str] = (), unreadable: list[str] = ()) -> dict[str, DataFrame]:
-    """New tables of a catalogue after a scan ``(path, size, mtime, content)`` of ``root``.
+def index_root(scanned: DataFrame, catalog: dict[str, DataFrame], root: str, *, version: str = "v1", now: float = 0.0, complete: bool = True, excluded: list[str] = (), unreadable: list[str] = (), sweep: bool = True) -> dict[str, DataFrame]:
+    """The tables of a catalogue that a scan ``(path, size, mtime, content)`` of ``root`` changes.
 
     ``catalog`` holds ``files``, ``text_content``, ``classifications``, ``exact_hashes``,
     ``review_inbox``, ``learned_rules`` and ``category_overrides`` (empty ones will do). An
-    incomplete scan sweeps nothing.
+    incomplete scan sweeps nothing, and a scan without news changes no table.
     """
-    scanned = scanned.withColumn("file_id", P.opaque_id(F.col("path"))).withColumn("kind", P.kind(F.col("path")))
-    todo = cut(I.needs_processing(scanned, catalog["files"], version), "todo")
-    seen_before = catalog["files"].select("file_id", "first_seen")
+    slim = scanned.select("path", "size", "mtime")
+    todo = cut(I.needs_processing(slim, catalog["files"], version).withColumn("one", F.lit(1)), "todo")
+    files, out = catalog["files"], {}
+    if not todo.isEmpty():
+        out = _indexed(scanned, todo, catalog, version, now)
+        files = out["files"]
+    if sweep and complete:
+        gone = cut(I.swept(files, slim.select("path"), root, excluded=list(excluded), unreadable=list(unreadable)), "gone")
+        if not gone.isEmpty():
+            out["files"] = I.mark_missing(files, gone)
+    return out
+
+
+def _indexed(scanned: DataFrame, todo: DataFrame, catalog: dict[str, DataFrame], version: str, now: float) -> dict[str, DataFrame]:
+    """The tables after the rows that passed the gate are extracted and classified."""
+    with bloom_joins(scanned.sparkSession):
+        body = F.when(F.col("kind") == "text", text_sample(F.col("content")))
+        read = scanned.select("path", "content").join(todo.where("one = 1").drop("one"), "path").withColumn("kind", P.kind(F.col("path")))
+        read = cut(read.select(P.opaque_id(F.col("path")).alias("file_id"), "path", "size", "mtime", "kind", F.octet_length("content").cast("long").alias("bytes"), F.sha2("content", 256).alias("sha256"), F.substring(body, 1, EXTRACTED).alias("body")), "read")
 
-    entry = todo.join(seen_before, "file_id", "left").select("file_id", "path", "size", "mtime", "kind", F.lit(False).alias("is_symlink"), F.lit("indexed").alias("status"), F.coalesce("first_seen", F.lit(now)).alias("first_seen"), F.lit(now).alias("last_indexed"), F.lit(version).alias("last_extractor"))
+    seen_before = catalog["files"].select("file_id", "first_seen")
+    entry = read.join(seen_before, "file_id", "left").select("file_id", "path", "size", "mtime", "kind", F.lit(False).alias("is_symlink"), F.lit("indexed").alias("status"), F.coalesce("first_seen", F.lit(now)).alias("first_seen"), F.lit(now).alias("last_indexed"), F.lit(version).alias("last_extractor"))
     files = ST.upsert(catalog["files"], conform(entry, "files"), ["file_id"])
-    files = I.missing_sweep(files, scanned.select("path"), root, excluded=list(excluded), unreadable=list(unreadable), complete=complete)
 
-    body = F.when(F.col("kind") == "text", text_sample(F.col("content")))
-    texts = todo.select("file_id", F.substring(body, 1, EXTRACTED).alias("body"), F.lit("text").alias("extractor"), F.lit(now).alias("created")).where("trim(body) <> ''")
-    text_content = ST.replace_per_key(catalog["text_content"], conform(texts, "text_content"), ["file_id"], touched=todo)
+    texts = read.select("file_id", "body", F.lit("text").alias("extractor"), F.lit(now).alias("created")).where("trim(body) <> ''")
+    text_content = ST.replace_per_key(catalog["text_content"], conform(texts, "text_content"), ["file_id"], touched=read)
 
-    hashes = todo.select("file_id", F.octet_length("content").cast("long").alias("size"), F.sha2("content", 256).alias("sha256"))
+    hashes = read.select("file_id", F.col("bytes").alias("size"), "sha256")
     exact_hashes = ST.upsert(catalog["exact_hashes"], conform(hashes, "exact_hashes"), ["file_id"])
 
-    k = L.classify(F.col("path"), F.col("kind"), body, size_class=P.size_class(F.col("size")))
-    first = todo.select("file_id", "path", k.alias("k"), F.concat_ws(" ", "kind", P.size_class(F.col("size"))).alias("evidence")).select("file_id", "path", "evidence", F.col("k.categories").alias("base_categories"), F.col("k.confidence").alias("confidence"), F.col("k.reasons").alias("base_reasons"))
+    k = L.classify(F.col("path"), F.col("kind"), F.col("body"), size_class=P.size_class(F.col("size")))
+    first = read.select("file_id", "path", k.alias("k"), F.concat_ws(" ", "kind", P.size_class(F.col("size"))).alias("evidence")).select("file_id", "path", "evidence", F.col("k.categories").alias("base_categories"), F.col("k.confidence").alias("confidence"), F.col("k.reasons").alias("base_reasons"))
     learned = R.enrich(first.withColumn("categories", F.col("base_categories")), catalog["learned_rules"])
     final = R.apply_overrides(learned, catalog["category_overrides"])
     rows = first.drop("path", "evidence").join(final, "file_id").select("file_id", "categories", "base_categories", F.lit("").alias("description"), "confidence", F.slice(F.concat("base_reasons", "reasons"), 1, L.MAX_REASONS).alias("reason_codes"), F.lit("rules").alias("classifier"), F.lit(now).alias("created"))
@@ -58,6 +76,57 @@ def index_root(scanned: DataFrame, catalog: dict[str, DataFrame], root: str, *,
     return {"files": files, "text_content": text_content, "exact_hashes": exact_hashes, "classifications": classifications, "review_inbox": review}
 
 
+CATALOG = ("files", "text_content", "classifications", "exact_hashes", "review_inbox", "learned_rules", "category_overrides")
+RUN, PAUSE, CANCEL = "run", "pause", "cancel"
+
+
+def catalog_of(spark: SparkSession, store: str) -> dict[str, DataFrame]:
+    """The tables of a store that indexing reads."""
+    return {name: ST.load(spark, store, name) for name in CATALOG}
+
+
+def scan_session(scanned: DataFrame, store: str, root: str, *, batches: int = 1, control: Callable[[int], str] | None = None, version: str = "v1", now: float = 0.0, available: bool = True, complete: bool = True, excluded: list[str] = (), unreadable: list[str] = ()) -> DataFrame:
+    """Index a scan of ``root`` into a store, batch by batch; returns one row about the session.
+
+    ``(generation, root, completion, scanned, processed, missing, batches)``. Paths are dealt to
+    ``batches`` by hash and each batch is one commit, so a crash, a pause or a cancellation loses
+    at most the batch at hand; the next session's gate passes over what is done.
+    ``control(batches done)`` says before each batch whether to ``run``, ``pause`` or ``cancel``.
+    Only a session that ran through a complete scan looks for missing files. The completion is
+    ``completed``, ``limited`` (an incomplete scan), ``paused``, ``cancelled`` or
+    ``rootUnavailable``. Generations count up; each session's row is kept in the store's ``scan_sessions``.
+    """
+    spark = scanned.sparkSession
+    meta = ST.load(spark, store, "meta")
+    generation = I.next_generation(meta).first()["generation"]
+    done, state = 0, RUN
+    for b in range(batches if available else 0):
+        state = control(b) if control else RUN
+        if state != RUN:
+            break
+        part = scanned if batches == 1 else scanned.where(F.pmod(F.xxhash64("path"), F.lit(batches)) == b)
+        changed = index_root(part, catalog_of(spark, store), root, version=version, now=now, sweep=False)
+        if changed:
+            ST.commit(spark, store, changed)
+        done += 1
+    files = ST.load(spark, store, "files")
+    completion = "rootUnavailable" if not available else "paused" if state == PAUSE else "cancelled" if state != RUN else "completed" if complete else "limited"
+    missing, tables = 0, {}
+    if completion == "completed":
+        gone = cut(I.swept(files, scanned.select("path"), root, excluded=list(excluded), unreadable=list(unreadable)), "gone")
+        missing = gone.count()
+        if missing:
+            tables["files"] = I.mark_missing(files, gone)
+    own = files.where(P.under(F.col("path"), root) & (F.col("last_indexed") == now)).select("path").join(scanned.select("path"), "path", "left_semi")
+    counts = scanned.agg(F.count("*").alias("scanned")).crossJoin(own.agg(F.count("*").alias("processed")))  # one row each
+    row = cut(counts.select(F.lit(generation).alias("generation"), F.lit(root).alias("root"), F.lit(completion).alias("completion"), "scanned", "processed", F.lit(missing).cast("long").alias("missing"), F.lit(done).alias("batches")), "session")
+    known = ST.manifest(spark, store)[1]
+    tables["scan_sessions"] = ST.load(spark, store, "scan_sessions").unionByName(row) if "scan_sessions" in known else row
+    tables["meta"] = ST.upsert(meta, spark.createDataFrame([("root_scan_counter", str(generation))], "k string, v string"), ["k"])
+    ST.commit(spark, store, tables)
+    return row
+
+
 def searchable_chunks(tables: dict[str, DataFrame]) -> DataFrame:
     """``(file_id, chunk_index, text)`` to embed: the compacted text of every indexed file, chunks only where there are several."""
     rows = tables["text_content"].join(tables["files"].where("status = 'indexed'").select("file_id", "path"), "file_id")

@@ -38,15 +38,23 @@ def _vector(spark, sf, vec_id):
 # ---- duplicates -------------------------------------------------------------------------------
 
 
-@query("hashes", "SELECT size, sha256, count(*) AS copies, string_agg(file_id, ',' ORDER BY file_id) AS members FROM hashes GROUP BY size, sha256 HAVING count(*) > 1")
+_MEMBERS = "SELECT file_id, size, sha256, copies, representative FROM hashes JOIN (SELECT size, sha256, count(*) AS copies, min(file_id) AS representative FROM hashes GROUP BY 1, 2 HAVING count(*) > 1) USING (size, sha256)"
+
+
+@query("hashes", _MEMBERS)
 def exact_dup_groups(spark, sf):
-    return D.duplicate_groups(W.hashes(spark, sf)).withColumn("members", joined("members"))
+    return D.duplicate_members(W.hashes(spark, sf))
 
 
-@query("hashes", "SELECT size, sha256, count(*) AS copies, string_agg(file_id, ',' ORDER BY file_id) AS members FROM hashes GROUP BY size, sha256 HAVING count(*) > 1")
+@query("hashes", _MEMBERS)
 def staged_dup_groups(spark, sf):
     files = W.files(spark, sf, True).where("content is not null").select("file_id", c("content").cast("binary").alias("content"))
-    return D.duplicate_groups_staged(files).withColumn("members", joined("members"))
+    return D.duplicate_members_staged(files)
+
+
+@query("hashes", "SELECT size, sha256, count(*) AS copies, string_agg(file_id, ',' ORDER BY file_id) AS members FROM hashes GROUP BY size, sha256 HAVING count(*) > 1")
+def dup_member_lists(spark, sf):
+    return D.duplicate_groups(W.hashes(spark, sf)).withColumn("members", joined("members"))
 
 
 @query("hashes", "SELECT h.file_id FROM hashes h JOIN files f USING (file_id) WHERE f.status NOT IN ('missing','unscoped') AND (h.size, h.sha256) IN (SELECT (size, sha256) FROM hashes GROUP BY size, sha256 HAVING count(*) > 1)")
@@ -195,7 +203,7 @@ def review_inbox_rule(spark, sf):
 @query("inbox memberships exact", "SELECT (SELECT count(*) FROM files WHERE status<>'unscoped') AS total, (SELECT count(*) FROM files WHERE status='indexed') AS indexed, (SELECT count(*) FROM files WHERE status='missing') AS missing, (SELECT count(*) FROM inbox WHERE state='open') AS review, (SELECT count(*) FROM (SELECT DISTINCT array_to_string(string_split(category_path,'/')[1:n],'/') p FROM memberships, range(1,5) r(n) WHERE n <= len(string_split(category_path,'/'))) WHERE p<>'Review') AS categories, (SELECT count(*) FROM (SELECT 1 FROM hashes h JOIN files f USING (file_id) WHERE f.status='indexed' GROUP BY h.size,h.sha256 HAVING count(*)>1)) AS duplicate_groups, (SELECT count(*) FROM exact) AS graph_edges")
 def dashboard(spark, sf):
     m = W.memberships(spark, sf)
-    edges = C.exact_edges(W.hashes(spark, sf).select(c("file_id").alias("id"), c("sha256").alias("exact_hash")))
+    edges = C.exact_edge_count(W.hashes(spark, sf).select(c("file_id").alias("id"), c("sha256").alias("exact_hash")))
     return U.dashboard(W.files(spark, sf), W.inbox(spark, sf), G.ensure_categories(m), W.hashes(spark, sf), edges)
 
 
@@ -289,11 +297,12 @@ def date_kind_duplicate_search(spark, sf):
     return S.filtered_search(files, W.texts(spark, sf), W.transcripts(spark, sf), _PHRASE, filters).drop("snippet")
 
 
-@query("tokens", f"SELECT file_id, true AS bracketed, true AS bounded FROM (SELECT file_id, rank FROM {_rank('toks')} ORDER BY rank, file_id LIMIT 50)")
+_CUT = "greatest(0, least(p - 5, n - 12))"
+
+
+@query("tokens", f", hit AS (SELECT r.file_id, t, len(t) AS n, list_filter(range(0, len(t)-1), lambda i: t[i+1]='in' AND t[i+2]='the')[1] AS p FROM (SELECT file_id, rank FROM {_rank('toks')} ORDER BY rank, file_id LIMIT 50) r JOIN toks USING (file_id)) SELECT file_id, CASE WHEN {_CUT} > 0 THEN '…' ELSE '' END || array_to_string([CASE WHEN i = p THEN '[' ELSE '' END || t[i+1] || CASE WHEN i = p+1 THEN ']' ELSE '' END FOR i IN range({_CUT}, least(n, {_CUT}+12))], ' ') || CASE WHEN {_CUT} + 12 < n THEN '…' ELSE '' END AS snippet FROM hit")
 def snippets(spark, sf):
-    hits = S.bm25_search(W.texts(spark, sf), _PHRASE)
-    words = F.filter(F.split(F.translate("snippet", "…", ""), " "), lambda w: w != "")
-    return hits.select("file_id", F.contains("snippet", F.lit("[in the]")).alias("bracketed"), (F.size(words) <= 12).alias("bounded"))
+    return S.bm25_search(W.texts(spark, sf), _PHRASE).select("file_id", "snippet")
 
 
 @query("transcripts", "SELECT file_id, string_agg(text, ' ' ORDER BY start, text) AS text FROM transcripts GROUP BY file_id")
@@ -337,17 +346,19 @@ def compacted_prose(spark, sf):
     return k.select("file_id", F.length("k.primary").alias("primary_chars"), F.size("k.chunks").alias("chunks"))
 
 
-@query(None, r"SELECT page_id, length(regexp_extract(url, '[^/]*$'))::int AS name_chars, starts_with(html, '<') AS markup FROM pages")
+_BODY = r"regexp_replace(html, '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g')"
+_DECLARED = f"array_to_string([substr(trim(l), 1, 220) FOR l IN string_split(b, chr(10)) IF regexp_matches(lower(trim(l)), '^({'|'.join(T.DECLARATIONS)})')], chr(10))"
+
+
+@query(None, f"SELECT page_id, md5(substr('file: ' || regexp_extract(url, '[^/]*$') || chr(10) || 'head:' || chr(10) || substr(b, 1, 2400) || chr(10) || 'declarations:' || chr(10) || {_DECLARED} || chr(10) || 'tail:' || chr(10) || CASE WHEN length(b) < 800 THEN b ELSE right(b, 800) END, 1, 4000)) AS capsule FROM (SELECT page_id, url, {_BODY} AS b FROM pages)")
 def page_capsules(spark, sf):
-    p = table(spark, sf, "pages")
-    capsule = T.source_capsule(c("url"), c("html"))
-    return p.withColumn("k", capsule).where((F.length("k") <= 4000) & F.startswith("k", F.lit("file: "))).select("page_id", F.length(P.basename(c("url"))).alias("name_chars"), F.startswith("html", F.lit("<")).alias("markup"))
+    return table(spark, sf, "pages").select("page_id", F.md5(T.source_capsule(c("url"), c("html"))).alias("capsule"))
 
 
 @query("files", "SELECT file_id, substr(content, 1, 8000) AS sample, length(trim(content)) < 50 AS needs_ocr, CASE WHEN size>0 THEN round(strlen(content)/size::double, 6) ELSE 0 END AS density FROM files WHERE content IS NOT NULL")
 def text_samples(spark, sf):
     t = c("content")
-    return W.files(spark, sf, True).where("content is not null").select("file_id", F.substring(t, 1, 8000).alias("sample"), T.needs_ocr(t).alias("needs_ocr"), F.round(T.text_density(t, c("size")), 6).alias("density"))
+    return W.files(spark, sf, True).where("content is not null").select("file_id", SF.text_sample(t.cast("binary")).alias("sample"), T.needs_ocr(t).alias("needs_ocr"), F.round(T.text_density(t, c("size")), 6).alias("density"))
 
 
 @query("files", "SELECT file_id, substr(content, 1, 100) AS head, substr(content, 51, 20) AS part, sha256(content) AS digest, replace(content, chr(10), ' ') AS flat FROM files WHERE content IS NOT NULL")
@@ -403,16 +414,8 @@ def l2_normalized(spark, sf):
     return W.vectors(spark, sf).select("file_id", n.alias("n")).select("file_id", F.round(F.sqrt(V.dot(c("n"), c("n"))), 6).alias("norm"))
 
 
-@query(None, f"SELECT round(avg(CASE WHEN col % 5 = label THEN 1.0 ELSE 0 END), 6) AS recall_at_1 FROM (SELECT t.label, arg_max(i.col, list_cosine_similarity(t.v::double[], i.v::double[])) AS col FROM (SELECT vec_id AS label, embedding AS v FROM embeddings WHERE vec_id < 5) t, (SELECT vec_id-5 AS col, embedding AS v FROM embeddings WHERE vec_id BETWEEN 5 AND 24) i GROUP BY t.label)")
+@query(None, "SELECT round(avg((l = label)::int), 6) AS recall_at_1 FROM (SELECT t.label, arg_max(o.label, struct_pack(s := list_dot_product(t.e, o.e) / (sqrt(list_dot_product(t.e, t.e)) * sqrt(list_dot_product(o.e, o.e))), b := -o.vec_id)) AS l FROM (SELECT label, arg_min(embedding::double[], vec_id) AS e FROM embeddings WHERE label IS NOT NULL GROUP BY label) t, (SELECT vec_id, label, embedding::double[] AS e FROM embeddings WHERE vec_id NOT IN (SELECT min(vec_id) FROM embeddings WHERE label IS NOT NULL GROUP BY label)) o GROUP BY t.label)")
 def cosine_matrix_recall(spark, sf):
-    e = table(spark, sf, "embeddings")
-    texts = e.where("vec_id < 5").select(c("vec_id").alias("label"), c("embedding").alias("vector"))
-    images = e.where("vec_id between 5 and 24").select((c("vec_id") - 5).alias("column"), c("embedding").alias("vector"))
-    return S.cosine_matrix_recall(texts, images, 5).withColumn("recall_at_1", F.round("recall_at_1", 6))
-
-
-@query()
-def cosine_matrix_recall_all(spark, sf):
     """The first vector of each label against all other vectors of the table."""
     e = table(spark, sf, "embeddings").select("vec_id", "label", c("embedding").alias("vector"))
     labels = (e.agg(F.max("label")).first()[0] or 0) + 2  # the last number is for vectors without a label
@@ -437,21 +440,21 @@ def semantic_edges(spark, sf):
     return C.embedding_edges(W.vectors(spark, sf).select(c("file_id").alias("id"), "model", "vector"), threshold=0.30).select("a", "b", F.round("score", 6).alias("score"), "signal")
 
 
-@query("vectors", f", {_SEM} SELECT a, b, round(score,6) AS score FROM sem WHERE score >= 0.30 AND model='m0' AND (a IN (SELECT file_id FROM files WHERE doc_id%10=0) OR b IN (SELECT file_id FROM files WHERE doc_id%10=0))")
+@query("vectors", f", {_SEM} SELECT a, b, round(score,6) AS score FROM sem WHERE score >= 0.30 AND (a IN (SELECT file_id FROM files WHERE doc_id%10=0) OR b IN (SELECT file_id FROM files WHERE doc_id%10=0))")
 def incremental_edges(spark, sf):
-    v = W.vectors(spark, sf).where("model = 'm0'")
+    v = W.vectors(spark, sf)
     changed = v.where("doc_id % 10 = 0").select(c("file_id").alias("id"))
     found = C.embedding_edges(v.select(c("file_id").alias("id"), "model", "vector"), threshold=0.30, changed=changed)
     return C.canonical(found).select("a", "b", F.round("score", 6).alias("score"))
 
 
-_FEAT = "fp AS (SELECT file_id, [floor(x*4)::int FOR x IN vector[1:8]] AS f FROM vectors), fe AS (SELECT x.file_id AS a, y.file_id AS b, len([i FOR i IN range(1,9) IF x.f[i]=y.f[i]])/8.0::double AS score FROM fp x JOIN fp y ON x.file_id<y.file_id)"
+_FEAT = "fp AS (SELECT file_id, [floor(x*2)::int FOR x IN vector] AS f FROM vectors), fe AS (SELECT x.file_id AS a, y.file_id AS b, len([i FOR i IN range(1,len(x.f)+1) IF x.f[i]=y.f[i]])/len(x.f)::double AS score FROM fp x JOIN fp y ON x.file_id<y.file_id)"
 
 
-@query("vectors", f", {_FEAT} SELECT a, b, score::double AS score FROM fe WHERE score >= 0.875")
+@query("vectors", f", {_FEAT} SELECT a, b, score::double AS score FROM fe WHERE score >= 0.7")
 def feature_print_edges(spark, sf):
-    nodes = W.vectors(spark, sf).select(c("file_id").alias("id"), F.transform(F.slice("vector", 1, 8), lambda x: F.floor(x * 4).cast("int")).alias("feature"))
-    return C.feature_edges(nodes, threshold=0.875).select("a", "b", "score")
+    nodes = W.vectors(spark, sf).select(c("file_id").alias("id"), F.transform("vector", lambda x: F.floor(x * 2).cast("int")).alias("feature"))
+    return C.feature_edges(nodes, threshold=0.7).select("a", "b", "score")
 
 
 @query("vectors exact", f", {_SEM} SELECT a, b, relation, signal, round(max(score),6) AS score FROM (SELECT a,b,'nearDuplicate' AS relation,'exactHash' AS signal,1.0::double AS score FROM exact UNION ALL SELECT a,b,'semantic','embedding:'||model,score FROM sem WHERE score>=0.30) GROUP BY 1,2,3,4")
@@ -464,11 +467,11 @@ def edge_dedupe(spark, sf):
 
 def _families(spark, sf):
     exact = C.exact_family_edges(W.hashes(spark, sf).select(c("file_id").alias("id"), c("sha256").alias("exact_hash")))
-    sem = C.embedding_edges(W.vectors(spark, sf).where("model = 'm0'").select(c("file_id").alias("id"), "model", "vector"), threshold=0.40)
+    sem = C.embedding_edges(W.vectors(spark, sf).select(c("file_id").alias("id"), "model", "vector"), threshold=0.40)
     return C.clusters(exact.unionByName(sem), min_score=0.40)
 
 
-_COMP = f""", {_SEM}, e AS (SELECT 'nearDuplicate' AS relation, a, b, 1.0::double AS score, 'exactHash' AS signal FROM (SELECT min(file_id) OVER (PARTITION BY sha256) AS a, file_id AS b FROM hashes) WHERE a<>b UNION ALL SELECT 'semantic', a, b, score, 'embedding:m0' FROM sem WHERE model='m0' AND score >= 0.40),
+_COMP = f""", {_SEM}, e AS (SELECT 'nearDuplicate' AS relation, a, b, 1.0::double AS score, 'exactHash' AS signal FROM (SELECT min(file_id) OVER (PARTITION BY sha256) AS a, file_id AS b FROM hashes) WHERE a<>b UNION ALL SELECT 'semantic', a, b, score, 'embedding:' || model FROM sem WHERE score >= 0.40),
  sym AS (SELECT relation, a, b FROM e UNION SELECT relation, b, a FROM e),
  reach(relation, a, b) AS (SELECT relation, a, b FROM sym UNION SELECT r.relation, r.a, s.b FROM reach r JOIN sym s ON s.relation=r.relation AND s.a=r.b),
  comp AS (SELECT relation, a AS node, least(a, min(b)) AS root FROM reach GROUP BY relation, a)"""
@@ -487,7 +490,7 @@ def representatives(spark, sf):
     return _families(spark, sf).select("relation", F.get("members", 0).alias("first"), "representative")
 
 
-@query("vectors hashes", _COMP + " SELECT c.relation, root AS first, round(min(score),6) AS confidence, 'connected by ' || arg_max(signal, score) AS reason FROM e JOIN comp c ON c.relation=e.relation AND c.node=e.a GROUP BY 1,2", recursive=True)
+@query("vectors hashes", _COMP + " SELECT c.relation, root AS first, round(min(score),6) AS confidence, 'connected by ' || arg_max(signal, struct_pack(s := score, g := signal)) AS reason FROM e JOIN comp c ON c.relation=e.relation AND c.node=e.a GROUP BY 1,2", recursive=True)
 def cluster_reason(spark, sf):
     return _families(spark, sf).select("relation", F.get("members", 0).alias("first"), F.round("confidence", 6).alias("confidence"), "reason")
 
@@ -540,14 +543,14 @@ def graph_stats(spark, sf):
 
 @query("memberships", "SELECT file_id, string_agg(category_path, ',' ORDER BY category_path) AS categories FROM memberships GROUP BY file_id")
 def classified_categories(spark, sf):
-    k = L.classify(c("path"), c("kind"), F.lit(None).cast("string"))
-    return W.files(spark, sf).select("file_id", joined(F.array_sort(k["categories"])).alias("categories"))
+    k = L.classify(c("path"), c("kind"), c("content"))
+    return W.files(spark, sf, True).select("file_id", joined(F.array_sort(k["categories"])).alias("categories"))
 
 
 @query("files", "SELECT file_id, round(least(0.99, 0.55 + CASE WHEN doc_id%7=0 THEN 0.1 ELSE 0 END + CASE WHEN doc_id%10=4 AND doc_id%53<>0 THEN 0.15 ELSE 0 END + CASE WHEN doc_id%10=3 AND doc_id%53<>0 AND doc_id%11=0 AND doc_id%7<>0 THEN 0.1 ELSE 0 END), 6)::double AS confidence FROM files")
 def classified_confidence(spark, sf):
-    k = L.classify(c("path"), c("kind"), F.lit(None).cast("string"))
-    return W.files(spark, sf).select("file_id", F.round(k["confidence"], 6).alias("confidence"))
+    k = L.classify(c("path"), c("kind"), c("content"))
+    return W.files(spark, sf, True).select("file_id", F.round(k["confidence"], 6).alias("confidence"))
 
 
 @query("files", r"SELECT file_id, array_to_string(list_sort(list_distinct([upper(substr(x,1,3)) || '-' || regexp_extract(x, '[0-9]+') FOR x IN regexp_extract_all(' ' || lower(path) || ' ', '[^a-z0-9]((?:art|bio|bus|chm|com|csc|eco|eng|fre|his|mat|phy|psy|soc|spa)[ _-]?[0-9]{3,4})[^a-z0-9]', 1)])), ',') AS courses FROM files")
@@ -560,7 +563,7 @@ def code_projects(spark, sf):
     return W.files(spark, sf).where(L.code_project(c("path"))).select("file_id")
 
 
-_MIX = "(lower(substr(content,1,200)) || CASE WHEN doc_id%3=0 THEN ' canvas' ELSE '' END || CASE WHEN doc_id%6=0 THEN ' assignment' ELSE '' END || CASE WHEN doc_id%20=1 THEN ' moodle' ELSE '' END)"
+_MIX = "(lower(content) || CASE WHEN doc_id%3=0 THEN ' canvas' ELSE '' END || CASE WHEN doc_id%6=0 THEN ' assignment' ELSE '' END || CASE WHEN doc_id%20=1 THEN ' moodle' ELSE '' END)"
 
 
 @query("files", f"SELECT file_id, contains(t,'blackboard') OR contains(t,'moodle') OR contains(t,'instructure') OR (contains(t,'canvas') AND (contains(t,'course') OR contains(t,'module') OR contains(t,'assignment'))) AS lms, contains(t,'worksheet') OR contains(t,'assignment') OR contains(t,'homework') AS assignment FROM (SELECT file_id, {_MIX} AS t FROM files WHERE content IS NOT NULL)")
@@ -789,11 +792,11 @@ def subtree_missing(spark, sf):
     return I.subtree_missing(W.files(spark, sf), "/es").select("path", "status")
 
 
-_BACK = "back AS (SELECT '/live/u' || user_id::varchar AS prefix, arg_max(event_type, t) AS reason, least(count(*),30)::int AS attempts, max(t) AS last_attempt FROM (SELECT user_id, event_type, event_id::double AS t FROM events WHERE event_id%3=0) GROUP BY 1), bo AS (SELECT *, last_attempt + least(1800.0, 30.0*pow(2.0, least(attempts-1, 10)))::double AS retry_after FROM back)"
+_BACK = "back AS (SELECT '/live/u' || user_id::varchar AS prefix, arg_max(event_type, t) AS reason, least(count(*),30)::int AS attempts, max(t) AS last_attempt FROM (SELECT user_id, event_type, event_id::double AS t FROM events) GROUP BY 1), bo AS (SELECT *, last_attempt + least(1800.0, 30.0*pow(2.0, least(attempts-1, 10)))::double AS retry_after FROM back)"
 
 
 def _backoff(spark, sf, **kw):
-    e = table(spark, sf, "events").where("event_id % 3 = 0")
+    e = table(spark, sf, "events")
     return I.access_backoff(e.select(F.concat(F.lit("/live/u"), c("user_id").cast("string")).alias("prefix"), c("event_type").alias("reason"), c("event_id").cast("double").alias("now")), **kw)
 
 
@@ -968,12 +971,18 @@ def dropped_events(spark, sf):
     return W.events(spark, sf).where(Y.dropped(c("flags"))).select("event_id")
 
 
-@query("live", ", g AS (SELECT ts, event_id, CASE WHEN ts - lag(ts) OVER (ORDER BY ts) < INTERVAL 300 SECOND THEN 0 ELSE 1 END AS n FROM live), s AS (SELECT ts, sum(n) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS events FROM s GROUP BY k")
+@query("live", ", g AS (SELECT ts, path, event_id, CASE WHEN ts - lag(ts) OVER (ORDER BY ts) < INTERVAL 300 SECOND THEN 0 ELSE 1 END AS n FROM live), s AS (SELECT ts, path, sum(n) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS events, count(DISTINCT path)::int AS paths FROM s GROUP BY k")
 def debounce_sessions(spark, sf):
-    return Y.debounced(W.events(spark, sf), "300 seconds").select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "events")
+    return Y.debounced(W.events(spark, sf), "300 seconds").select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "events", "paths")
 
 
-@query()
+@query(
+    "live",
+    """, m AS (SELECT DISTINCT epoch(ts::timestamp)::double AS t FROM live WHERE flags & 55 <> 0),
+ scan(x) AS (SELECT min(t) FROM m HAVING min(t) IS NOT NULL UNION ALL SELECT greatest(n, x + 86400.0) FROM (SELECT x, (SELECT min(t) FROM m WHERE t > x) AS n FROM scan) WHERE n IS NOT NULL)
+ SELECT 'all' AS key, x AS scan_at FROM scan""",
+    recursive=True,
+)
 def rate_limited_rescan(spark, sf):
     markers = W.events(spark, sf).where(Y.dropped(c("flags"))).select(F.lit("all").alias("key"), c("ts").cast("double").alias("ts"))
     return Y.reconcile_plan(markers, cooldown=86_400.0)

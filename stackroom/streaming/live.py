@@ -41,11 +41,12 @@ def debounced(events: DataFrame, gap: str = DEBOUNCE, watermark: str | None = No
     """Bursts: a session window over all paths, which a pause of ``gap`` closes.
 
     ``(start, end, events, paths, dropped)``. The key is constant because any event re-arms the
-    timer; the aggregate is partial before the shuffle, so a burst costs one small row a task.
+    timer; the aggregate is partial before the shuffle, so a burst costs one row a task. Paths are
+    counted exactly, by eight bytes each.
     """
     src = events.withWatermark("ts", watermark) if watermark else events
     one = F.substring("path", 1, 0)  # a constant that the optimiser keeps: streaming sessions need a key
-    w = src.groupBy(one.alias("all"), F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("events"), F.approx_count_distinct("path").alias("paths"), F.bool_or(dropped(F.col("flags"))).alias("dropped"))
+    w = src.groupBy(one.alias("all"), F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("events"), F.size(F.collect_set(F.xxhash64("path"))).alias("paths"), F.bool_or(dropped(F.col("flags"))).alias("dropped"))
     return w.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "events", "paths", "dropped")
 
 
@@ -119,31 +120,46 @@ class Reconciler(StatefulProcessor):
         self.last = handle.getValueState("last", StructType([StructField("at", LongType())]))
         self.waiting = handle.getValueState("waiting", StructType([StructField("at", LongType())]))
 
-    def _row(self, key, at) -> pd.DataFrame:
-        self.last.update((at,))
-        return pd.DataFrame({"key": [key[0]], "scan_at": [at / 1000]})
-
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        for pdf in rows:
-            for ts in sorted(pdf["ts"]):
-                now = int(ts.timestamp() * 1000)
-                last = self.last.get()[0] if self.last.exists() else None
-                if last is None or now - last >= self.cooldown:
-                    yield self._row(key, now)
-                elif not self.waiting.exists():
-                    self.waiting.update((last + self.cooldown,))
-                    self.handle.registerTimer(last + self.cooldown)
+        last = self.last.get()[0] if self.last.exists() else None
+        waiting = self.waiting.get()[0] if self.waiting.exists() else None
+        timer, scans = waiting, []
+        for now in sorted(int(ts.timestamp() * 1000) for pdf in rows for ts in pdf["ts"]):
+            if waiting is not None and now >= waiting:  # its time came before the timer fired
+                scans.append(waiting)
+                last, waiting = waiting, None
+            if last is None or now - last >= self.cooldown:
+                scans.append(now)
+                last = now
+            elif waiting is None:
+                waiting = last + self.cooldown
+        if waiting != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+                self.waiting.clear()
+            if waiting is not None:
+                self.waiting.update((waiting,))
+                self.handle.registerTimer(waiting)
+        if scans:
+            self.last.update((last,))
+            yield pd.DataFrame({"key": [key[0]] * len(scans), "scan_at": [t / 1000 for t in scans]})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         if self.waiting.exists():
             at = self.waiting.get()[0]
             self.waiting.clear()
-            yield self._row(key, at)
+            self.last.update((at,))
+            yield pd.DataFrame({"key": [key[0]], "scan_at": [at / 1000]})
 
     def close(self) -> None:
         pass
 
 
+def wake(spark: SparkSession, at: float, event_id: int = 0) -> DataFrame:
+    """The event that stands for whatever was missed while the machine slept: a scan must follow."""
+    return spark.createDataFrame([(None, MUST_SCAN, event_id, at)], "path string, flags int, event_id long, at double").select("path", "flags", "event_id", F.timestamp_seconds("at").alias("ts"))
+
+
 def reconcile_stream(requests: DataFrame, cooldown_ms: int = 5000) -> DataFrame:
     """Scans ``(key, scan_at)`` of a stream of markers ``(key, ts)``; needs the RocksDB state store."""
     schema = StructType([StructField("key", requests.schema["key"].dataType), StructField("scan_at", DoubleType())])

@@ -1,6 +1,7 @@
 """Small literal inputs with known results: one test for each behaviour that the surveyed suite pins."""
 
 import math
+import os
 import struct
 import zipfile
 
@@ -47,8 +48,8 @@ def test_file_tree(spark, tmp_path):
     rows, cut = SF.listing(scanned, 2)
     assert cut and rows.count() == 2
     contents = scanned.withColumn("file_id", P.opaque_id(F.col("path")))
-    groups = D.duplicate_groups_staged(contents.select("file_id", "content")).collect()
-    assert len(groups) == 1 and groups[0]["copies"] == 2
+    groups = D.duplicate_members_staged(contents.select("file_id", "content")).collect()
+    assert len(groups) == 2 and {r["copies"] for r in groups} == {2} and len({r["representative"] for r in groups}) == 1
     assert SF.complete(scanned, 1000).count() == 4
     assert scanned.where(F.col("path").endswith(".txt")).select(SF.text_sample(F.col("content")).alias("t")).first()["t"] == "notes for CSC-151"
 
@@ -332,11 +333,41 @@ def test_image_junk(spark):
 def test_publish_swaps_whole_tables(spark, tmp_path):
     path = str(tmp_path / "t")
     ST.publish(spark.createDataFrame([("a", 1)], "k string, v int"), path)
-    ST.publish(ST.upsert(spark.read.parquet(path), spark.createDataFrame([("a", 2), ("b", 3)], "k string, v int"), ["k"]), path)
-    assert sorted(map(tuple, spark.read.parquet(path).collect())) == [("a", 2), ("b", 3)]
-    assert [p.name for p in tmp_path.iterdir()] == ["t"]
+    ST.publish(ST.upsert(ST.published(spark, path), spark.createDataFrame([("a", 2), ("b", 3)], "k string, v int"), ["k"]), path)
+    assert {(r["k"], r["v"]) for r in ST.published(spark, path).collect()} == {("a", 2), ("b", 3)}
     ST.publish(spark.createDataFrame([("root_scan_counter", "3")], "k string, v string"), str(tmp_path / "meta"), table="meta")
-    assert I.next_generation(spark.read.parquet(str(tmp_path / "meta"))).first()[0] == 4
+    assert I.next_generation(ST.published(spark, str(tmp_path / "meta"))).first()["generation"] == 4
+
+
+def test_commits_are_all_or_nothing(spark, tmp_path, monkeypatch):
+    store = str(tmp_path / "store")
+    one = lambda n: spark.createDataFrame([(n,)], "n int")
+    assert ST.manifest(spark, store) == (0, {}) and ST.load(spark, store, "meta").count() == 0
+    assert ST.commit(spark, store, {"a": one(1), "b": one(1)}) == 1
+    value = lambda name: ST.load(spark, store, name).first()["n"]
+
+    class Broken:
+        columns = ()
+
+        class write:  # noqa: N801
+            @staticmethod
+            def parquet(path):
+                raise OSError("disk full")
+
+    with pytest.raises(OSError):
+        ST.commit(spark, store, {"a": one(2), "b": Broken})
+    assert value("a") == 1 and value("b") == 1
+    assert ST.commit(spark, store, {"b": one(3)}) == 2 and value("a") == 1 and value("b") == 3
+    # A writer that started before another's commit fails and changes nothing.
+    with monkeypatch.context() as m:
+        m.setattr(ST, "manifest", lambda *_: (1, {}))
+        with pytest.raises(OSError):
+            ST.commit(spark, store, {"a": one(9)})
+    assert value("a") == 1
+    for n in range(4, 8):
+        ST.commit(spark, store, {"a": one(n)})
+    assert value("a") == 7 and value("b") == 3 and len(os.listdir(tmp_path / "store" / "a")) <= 2
+
 
 
 def test_providers(spark):

@@ -33,8 +33,7 @@ def test_index_then_nothing_then_changes(spark):
     assert indexing.searchable_chunks(first).count() == 2
 
     catalog |= {t: spark.createDataFrame(df.collect(), df.schema) for t, df in first.items()}
-    again = indexing.index_root(scan(spark, TREE), catalog, "/r", now=2.0)
-    assert {r["last_indexed"] for r in again["files"].collect()} == {1.0}
+    assert indexing.index_root(scan(spark, TREE), catalog, "/r", now=2.0) == {}
 
     changed = [(p, t + "!" if p == "/r/a.py" else t, m) for p, t, m in TREE if p != "/r/b.bin"]
     third = {r["path"]: r for r in indexing.index_root(scan(spark, changed), catalog, "/r", now=3.0)["files"].collect()}
@@ -60,18 +59,85 @@ def test_token_ids(spark):
     assert got["b"][1] == 49407 and got["c"][76] == 49407
 
 
-def test_stateful_rate_limit(spark, tmp_path):
+TIMES = [[100.0, 102.0, 106.0, 107.0], [100.0, 101.0, 102.0, 130.0], [1.0, 6.0, 6.0, 11.0, 30.0], [7.0]]
+
+
+@pytest.mark.parametrize("times", TIMES)
+def test_rate_limit_forms_agree(spark, tmp_path, times):
+    requests = spark.createDataFrame([("all", t) for t in times], "key string, ts double")
+    batch = sorted(r["scan_at"] for r in Y.reconcile_plan(requests, cooldown=5.0).collect())
     key = "spark.sql.streaming.stateStore.providerClass"
     spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
         src = str(tmp_path / "in")
-        rows = spark.range(4).select(F.lit("all").alias("key"), F.timestamp_millis(F.element_at(F.array(F.lit(100_000), F.lit(101_000), F.lit(102_000), F.lit(130_000)), (F.col("id") + 1).cast("int"))).alias("ts"))
-        rows.coalesce(1).write.parquet(src)
-        stream = Y.reconcile_stream(spark.readStream.schema("key string, ts timestamp").parquet(src), 5000)
-        q = stream.writeStream.format("memory").queryName("scans").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "ck")).start()
+        late = spark.createDataFrame([("end", times[-1] + 100)], "key string, ts double")  # lets the watermark pass
+        for rows in (requests, late):
+            rows.select("key", F.timestamp_seconds("ts").alias("ts")).coalesce(1).write.mode("append").parquet(src)
+        stream = Y.reconcile_stream(spark.readStream.schema("key string, ts timestamp").option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(src), 5000)
+        name = f"scans{abs(hash(tuple(times)))}"
+        q = stream.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "ck")).start()
         q.awaitTermination(180)
-        at = sorted(r["scan_at"] for r in spark.table("scans").collect())
+        got = sorted(r["scan_at"] for r in spark.table(name).where("key = 'all'").collect())
     finally:
         spark.conf.unset(key)
-    # The first and the late request run at once; the two between share one deferred scan, unless the late one came first.
-    assert at[0] == 100.0 and 130.0 in at and len(at) <= 3
+    assert got == batch
+    if times == TIMES[0]:
+        assert batch == [100.0, 105.0, 110.0]
+
+
+def test_wake_leads_to_a_scan(spark):
+    work = Y.coalesce(Y.wake(spark, 50.0, 3)).collect()
+    assert [(r["kind"], r["event_id"]) for r in work] == [(Y.RESCAN, 3)]
+
+
+def test_sessions_resume(spark, tmp_path):
+    store = str(tmp_path / "store")
+    rows = scan(spark, TREE)
+    asked = []
+
+    def control(done):
+        asked.append(done)
+        return indexing.PAUSE if done == 2 else indexing.RUN
+
+    first = indexing.scan_session(rows, store, "/r", batches=4, control=control, now=1.0).first()
+    assert first["completion"] == "paused" and first["batches"] == 2 and asked == [0, 1, 2]
+    second = indexing.scan_session(rows, store, "/r", batches=4, now=2.0).first()
+    assert second["completion"] == "completed" and first["processed"] + second["processed"] == 4 and second["generation"] == 2
+    third = indexing.scan_session(rows.where("path <> '/r/b.bin'"), store, "/r", now=3.0).first()
+    assert (third["missing"], third["processed"]) == (1, 0)
+
+
+def test_rules_in_parts(spark, monkeypatch):
+    from stackroom.operators import learning as R
+
+    rules = spark.createDataFrame([(k, "pathKeyword", f"dir{k}/", f"T/{k}", True) for k in range(40)], "id long, pattern_type string, pattern string, target_category string, enabled boolean")
+    files = spark.createDataFrame([(f"f{k}", f"/dir{k}/dir{k + 1}/x.txt") for k in range(30)], "file_id string, path string").withColumn("evidence", F.lit("")).withColumn("categories", F.array().cast("array<string>"))
+    whole = sorted(map(tuple, R.enrich(files, rules).collect()))
+    monkeypatch.setattr(R, "RULES_AT_ONCE", 7)
+    assert sorted(map(tuple, R.enrich(files, rules).collect())) == whole and whole[0][1] == ["T/0", "T/1"]
+
+
+def test_category_paths_of_any_depth(spark):
+    from stackroom.operators import groups as G
+
+    rows = [(f"n{k}", f"c{k}", f"n{k - 1}" if k else None) for k in range(300)] + [("x", "lost", "nowhere")]
+    got = {r["id"]: r["path"] for r in G.category_paths(spark.createDataFrame(rows, "id string, name string, parent_id string")).collect()}
+    assert got["n299"] == "/".join(f"c{k}" for k in range(300)) and len(got) == 300
+    with pytest.raises(RuntimeError):
+        G.category_paths(spark.createDataFrame([("a", "a", "b"), ("b", "b", "a")], "id string, name string, parent_id string"), max_rounds=3)
+
+
+def test_lsh_recall(spark):
+    import numpy as np
+
+    from stackroom.operators import similarity as C
+
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(40, 32))
+    x = np.repeat(base, 5, axis=0) + 0.25 * rng.normal(size=(200, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(f"v{k:03d}", "m", v.tolist()) for k, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "id string, model string, vector array<double>")
+    exact = {(r["a"], r["b"]) for r in C.embedding_edges(df, threshold=0.85).select("a", "b").collect()}
+    found = {(r["a"], r["b"]) for r in C.lsh_embedding_edges(df, threshold=0.85, dim=32).select("a", "b").collect()}
+    assert found <= exact and len(found) >= 0.9 * len(exact) > 100

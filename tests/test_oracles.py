@@ -3,7 +3,7 @@
 import compare
 import pytest
 
-from stackroom.plans import queries  # noqa: F401
+from stackroom.plans import queries, write_queries  # noqa: F401
 from stackroom.plans.registry import ORACLE, QUERIES
 
 

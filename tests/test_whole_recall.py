@@ -18,5 +18,5 @@ def test_recall_reads_every_vector(spark, tmp_path):
     cosine = lambda a, b: a @ b / np.sqrt((a @ a) * (b @ b))
     nearest = {x: max((r for r in rows if r[0] not in used), key=lambda r: cosine(v, np.array(r[1]))) for x, (_, v) in first.items()}
     assert nearest[1][0] == 500
-    got = Q.cosine_matrix_recall_all(spark, str(tmp_path)).first()["recall_at_1"]
+    got = Q.cosine_matrix_recall(spark, str(tmp_path)).first()["recall_at_1"]
     assert got == round(sum(nearest[x][2] == x for x in first) / len(first), 6)
