@@ -40,8 +40,8 @@ MIN_CHARS = 24
 #: A key of so many lines or more is hot.
 HOT = 16
 #: A key of so many lines or more is refined into segments by at most ``PARTS`` parts.
-CROWD = 512
-PARTS = 12
+CROWD = 4096
+PARTS = 6
 
 
 def split_lines(text: Column) -> Column:
@@ -215,11 +215,14 @@ def _refine(index: DataFrame, probe: DataFrame, crowds: DataFrame, lines: DataFr
     """``index`` and ``probe`` with the rows of crowded keys under finer ones."""
     fine = cut(_finer(index.join(crowds, "key"), threshold, False).select("h", "key", "fine"), "fine")
     rare = fine.join(fine.groupBy("fine").agg(F.count("*").alias("lines")), "fine").groupBy("h", "key").agg(F.slice(F.array_sort(F.collect_list(F.struct("lines", "fine"))), 1, threshold + 1).alias("own"))
-    chosen = cut(rare.select("h", F.explode("own.fine").alias("key")), "chosen")
+    chosen = cut(rare.select("h", F.explode("own.fine").alias("key"), F.lit(1).alias("one")), "chosen")
     fits = F.col("size") == F.length("line") - F.col("shorter")
     wide = probe.join(crowds, "key", "left")
-    asked = _finer(wide.where(fits), threshold, True).select("h2", F.col("fine").alias("key"), "shorter").distinct()
-    asked = cut(asked.join(chosen.select("key").distinct(), "key", "left_semi"), "asked")
+    asked = _finer(wide.where(fits), threshold, True).select("h2", F.col("fine").alias("key"), "shorter")
+    # Most windows meet no segment: a Bloom filter drops them before the shuffle.
+    with bloom_joins(index.sparkSession):
+        asked = cut(asked.join(chosen.where("one = 1").select("key").distinct(), "key").distinct(), "asked")
+    chosen = chosen.drop("one")
     index_rows = index.join(crowds.select("key"), "key", "left_anti").select("h", "line", "key").unionByName(chosen.join(lines, "h").select("h", "line", "key"))
     probe_rows = wide.where(F.coalesce(~fits, F.lit(True))).select("h2", "line", "key", "shorter").unionByName(asked.join(lines.withColumnRenamed("h", "h2"), "h2").select("h2", "line", "key", "shorter"))
     return index_rows, probe_rows
