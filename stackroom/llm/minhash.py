@@ -10,8 +10,8 @@ similarity, and full sets confirm it.
 Hot lists are never expanded into pairs. Round one compares every member with two hubs of
 the list and contracts what matches. Round two takes lists that still hold several
 components: members outside the list's main component meet all others, block against
-block. Only sketches travel to these meetings; full sets follow for the documents of likely
-pairs, and a block pair returns a spanning forest of its links. Lists that are still long
+block. Where a list has several blocks, only sketches travel to their meetings, and full sets
+follow for the documents of likely pairs; a meeting returns a spanning forest of its links. Lists that are still long
 by then (thousands of documents with a passage in common and else unlike) are not compared:
 their documents are listed again, under the rarest quarter of their full sets, which such
 passages do not reach, and go through both rounds once more. Both rounds confirm on full
@@ -28,7 +28,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -115,58 +114,75 @@ def overlaps(left: list, right: list, columns: int = 20_000) -> np.ndarray:
     return out
 
 
-def _sides(pdf: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+class _Block:
+    """One side of a meeting: documents with their sets (or sketches), each once."""
+
+    def __init__(self, table: pa.Table, rows: np.ndarray, column: str):
+        ids = table.column("doc_id").to_numpy()[rows]
+        self.doc, first = np.unique(ids, return_index=True)
+        self.rows = rows[first]
+        self.n = table.column("n").to_numpy()[self.rows]
+        self.comp = table.column("comp").to_numpy()[self.rows]
+        cells = K.list_rows(table.column(column).combine_chunks())
+        self.sets = [cells[i] for i in self.rows.tolist()]
+
+
+def _sides(table: pa.Table, column: str) -> tuple[_Block, _Block]:
     """The two blocks that meet. ``side`` 0 holds one, 1 the other (2: a block against itself)."""
-    if (pdf["side"] == 2).all():
-        return pdf, pdf
-    return pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+    side = table.column("side").to_numpy()
+    if (side == 2).all():
+        one = _Block(table, np.arange(len(side)), column)
+        return one, one
+    return _Block(table, np.nonzero(side == 0)[0], column), _Block(table, np.nonzero(side == 1)[0], column)
 
 
-def _likely(left: pd.DataFrame, right: pd.DataFrame, column: str, percent: int, sketch: int) -> np.ndarray:
+def _likely(left: _Block, right: _Block, percent: int, sketch: int) -> np.ndarray:
     """Which pairs of different components the union sketch doesn't rule out.
 
     A pair's shared sketch values bound what its union sketch shares.
     """
-    na, nb = left["n"].to_numpy()[:, None], right["n"].to_numpy()[None, :]
-    maybe = (left["comp"].to_numpy()[:, None] != right["comp"].to_numpy()[None, :]) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
+    na, nb = left.n[:, None], right.n[None, :]
+    maybe = (left.comp[:, None] != right.comp[None, :]) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
     if not maybe.any():
         return maybe
-    shared = overlaps([x[:sketch] for x in left[column]], [x[:sketch] for x in right[column]])
+    shared = overlaps([x[:sketch] for x in left.sets], [x[:sketch] for x in right.sets])
     union = np.minimum(sketch, np.minimum(na, sketch) + np.minimum(nb, sketch) - shared)
     p = percent / 100
     return maybe & (shared >= np.maximum(1, np.floor(union * p - 6 * np.sqrt(union * p * (1 - p)))))
 
 
-def block_candidates(pdf: pd.DataFrame, percent: int, sketch: int) -> pd.DataFrame:
+def block_candidates(table: pa.Table, percent: int, sketch: int) -> pa.Table:
     """The rows of a block pair whose documents are in a likely pair, without their sketches."""
-    pdf = pdf.drop_duplicates(["doc_id", "side"])
-    left, right = _sides(pdf)
-    if left.empty or right.empty:
-        return pdf.iloc[:0].drop(columns="sketch")
-    maybe = _likely(left, right, "sketch", percent, sketch)
+    left, right = _sides(table, "sketch")
+    slim = table.drop_columns(["sketch"])
+    if not len(left.doc) or not len(right.doc):
+        return slim.slice(0, 0)
+    maybe = _likely(left, right, percent, sketch)
     if left is right:
-        return pdf[maybe.any(axis=1) | maybe.any(axis=0)].drop(columns="sketch")
-    return pd.concat([left[maybe.any(axis=1)], right[maybe.any(axis=0)]]).drop(columns="sketch")
+        return slim.take(left.rows[maybe.any(axis=1) | maybe.any(axis=0)])
+    return slim.take(np.concatenate((left.rows[maybe.any(axis=1)], right.rows[maybe.any(axis=0)])))
 
 
-def block_links(pdf: pd.DataFrame, percent: int, sketch: int) -> pd.DataFrame:
+_LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def block_links(table: pa.Table, percent: int, sketch: int) -> pa.Table:
     """A spanning forest of the links between the documents of one block pair.
 
     Pairs already in one component are skipped; links are confirmed on full sets.
     """
-    pdf = pdf.drop_duplicates(["doc_id", "side"])
-    left, right = _sides(pdf)
-    none = pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
-    if left.empty or right.empty:
+    left, right = _sides(table, "shingles")
+    none = _LINKS.empty_table()
+    if not len(left.doc) or not len(right.doc):
         return none
-    na, nb = left["n"].to_numpy()[:, None], right["n"].to_numpy()[None, :]
-    maybe = _likely(left, right, "shingles", percent, sketch)
-    sa, sb = left["shingles"].to_numpy(), right["shingles"].to_numpy()
+    maybe = _likely(left, right, percent, sketch)
+    if left is right:
+        maybe = np.triu(maybe, 1)
     rows, cols = np.nonzero(maybe.any(axis=1))[0], np.nonzero(maybe.any(axis=0))[0]
     if not len(rows):
         return none
-    both = overlaps([sa[i] for i in rows], [sb[j] for j in cols]).astype(np.int64)
-    linked = maybe[np.ix_(rows, cols)] & (100 * both >= percent * (na[rows] + nb[:, cols] - both))
+    both = overlaps([left.sets[i] for i in rows.tolist()], [right.sets[j] for j in cols.tolist()]).astype(np.int64)
+    linked = maybe[np.ix_(rows, cols)] & (100 * both >= percent * (left.n[rows][:, None] + right.n[cols][None, :] - both))
     parent: dict = {}
 
     def find(x):
@@ -175,15 +191,16 @@ def block_links(pdf: pd.DataFrame, percent: int, sketch: int) -> pd.DataFrame:
             x = parent[x]
         return x
 
-    out = []
-    ida, idb = left["doc_id"].to_numpy()[rows].tolist(), right["doc_id"].to_numpy()[cols].tolist()
-    ca, cb = left["comp"].to_numpy()[rows].tolist(), right["comp"].to_numpy()[cols].tolist()
+    out_a, out_b = [], []
+    ida, idb = left.doc[rows].tolist(), right.doc[cols].tolist()
+    ca, cb = left.comp[rows].tolist(), right.comp[cols].tolist()
     for i, j in zip(*(x.tolist() for x in np.nonzero(linked))):
         ra, rb = find(ca[i]), find(cb[j])
         if ra != rb:
             parent[max(ra, rb)] = min(ra, rb)
-            out.append((ida[i], idb[j]))
-    return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+            out_a.append(ida[i])
+            out_b.append(idb[j])
+    return pa.Table.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], schema=_LINKS)
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, width: int = SHINGLE, sketch: int = SKETCH, listed: int = LISTED, block: int = BLOCK, long: int = LONG, exact: bool = False) -> DataFrame:
@@ -312,23 +329,28 @@ def _block_links(prefix: DataFrame, stars: DataFrame, reps: DataFrame, sets: Dat
         lists = lists.where(F.col("rest") < long)
     placed = listed.join(lists, "v").select("large", F.when(F.col("large"), F.col("main")).otherwise(F.col("v")).alias("g"), "doc_id", "n", "comp", (F.col("comp") == F.col("main")).alias("is_main")).distinct()
     placed = cut(placed, "placed")
-    blocks = cut(placed.groupBy("large", "g").agg(F.ceil(F.count_if("is_main") / block).cast("int").alias("mb"), F.ceil(F.count_if(~F.col("is_main")) / block).cast("int").alias("rb")), "blocks")
-    at = F.when(F.col("is_main"), F.pmod(F.xxhash64("doc_id"), F.col("mb"))).otherwise(F.col("mb") + F.pmod(F.xxhash64("doc_id"), F.col("rb"))).cast("int")
-    others = F.sequence(F.when(F.col("is_main"), F.col("mb")).otherwise(0), F.col("mb") + F.col("rb") - 1)
+    mains, rests = F.count_if("is_main"), F.count_if(~F.col("is_main"))
+    whole = mains + rests <= block  # one block, which meets itself
+    blocks = placed.groupBy("large", "g").agg(whole.alias("whole"), F.when(whole, 0).otherwise(F.ceil(mains / block)).cast("int").alias("mb"), F.when(whole, 1).otherwise(F.ceil(rests / block)).cast("int").alias("rb"))
+    blocks = cut(blocks, "blocks")
+    at = F.when(F.col("whole"), 0).when(F.col("is_main"), F.pmod(F.xxhash64("doc_id"), F.col("mb"))).otherwise(F.col("mb") + F.pmod(F.xxhash64("doc_id"), F.col("rb"))).cast("int")
+    others = F.sequence(F.when(F.col("is_main") & ~F.col("whole"), F.col("mb")).otherwise(0), F.col("mb") + F.col("rb") - 1)
     rows = (
         placed.join(blocks, ["large", "g"])
-        .select("large", "g", "doc_id", "n", "comp", at.alias("at"), F.explode(others).alias("o"))
-        .select("large", "g", F.least("at", "o").alias("i"), F.greatest("at", "o").alias("j"), "doc_id", "n", "comp", F.when(F.col("at") == F.col("o"), 2).when(F.col("at") < F.col("o"), 0).otherwise(1).alias("side"))
-        .join(reps.select("doc_id", "sketch"), "doc_id")
+        .select("large", "g", "doc_id", "n", "comp", "whole", at.alias("at"), F.explode(others).alias("o"))
+        .select("large", "g", F.least("at", "o").alias("i"), F.greatest("at", "o").alias("j"), "doc_id", "n", "comp", "whole", F.when(F.col("at") == F.col("o"), 2).when(F.col("at") < F.col("o"), 0).otherwise(1).alias("side"))
     )
     place = ["large", "g", "i", "j"]
 
-    def near(pdf: pd.DataFrame) -> pd.DataFrame:
-        return block_candidates(pdf, percent, sketch)
+    def near(table: pa.Table) -> pa.Table:
+        return block_candidates(table, percent, sketch)
 
-    def confirm(pdf: pd.DataFrame) -> pd.DataFrame:
-        return block_links(pdf, percent, sketch)
+    def confirm(table: pa.Table) -> pa.Table:
+        return block_links(table, percent, sketch)
 
-    likely = cut(rows.groupBy(*place).applyInPandas(near, rows.drop("sketch").schema), "likely")
-    found = likely.join(sets, "doc_id").groupBy(*place).applyInPandas(confirm, "a long, b long").distinct()
+    slim = rows.drop("whole")
+    wide = rows.where(~F.col("whole")).drop("whole")
+    likely = wide.join(reps.select("doc_id", "sketch"), "doc_id").select(*slim.columns, "sketch").groupBy(*place).applyInArrow(near, slim.schema)
+    asked = cut(rows.where("whole").drop("whole").unionByName(likely), "likely")
+    found = asked.join(sets, "doc_id").groupBy(*place).applyInArrow(confirm, "a long, b long").distinct()
     return cut(found, "blocklinks"), hot
