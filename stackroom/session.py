@@ -51,6 +51,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: A table of fewer bytes is one task's scan.
+ONE_SCAN = 32 << 20
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """A table too small for more than one scan task, dealt to all cores; any other as it is.
+
+    For work that costs far more than reading: a single file would leave all but one core idle.
+    """
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < ONE_SCAN else df
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
