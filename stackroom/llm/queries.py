@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stackroom.llm import langid, linededup, minhash, mixing, packing, pqsearch, quality, secrets, substring, warc
-from stackroom.session import table
+from stackroom.session import dealt, table
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: lines, lines removed, those with an equal earlier line, links of its lines, digest of what is kept."""
-    out = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = linededup.dedup_lines(dealt(table(spark, sf_dir, "documents").select("doc_id", "text")))
     return out.select("doc_id", "n_lines", "n_dropped", "n_exact", "n_links", F.array_join(F.col("dropped").cast("array<string>"), ",").alias("dropped"), F.sha2("text", 256).alias("kept_sha256"))
 
 
@@ -20,7 +20,7 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = dealt(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
     model = langid.fit(docs.where(~F.coalesce(held, F.lit(False))))
     held_out = docs.select("doc_id", "text").withColumn("held_out", F.coalesce(held, F.lit(False)))
@@ -36,7 +36,7 @@ def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = dealt(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
@@ -46,17 +46,17 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = dealt(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return secrets.report(secrets.scan(docs, secrets.train(docs)))
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = substring.remove_repeats(table(spark, sf_dir, "documents"))
+    out = substring.remove_repeats(dealt(table(spark, sf_dir, "documents").select("doc_id", "text")))
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return minhash.near_duplicates(dealt(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 _ALL = (op1_line_dedup, op2_mix_sources, op3_language_id, op4_best_fit_packing, op5_embedding_near_dedup, op6_quality_rules, op7_warc, op8_secret_scan, op9_substring_dedup, op10_minhash_near_dedup)
