@@ -60,7 +60,7 @@ def dealt(df: DataFrame) -> DataFrame:
 
     For work that costs far more than reading: a single file would leave all but one core idle.
     """
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < ONE_SCAN else df
 
 
