@@ -82,8 +82,8 @@ def labelled_samples(docs: DataFrame, *, text_col: str = "text", random_strings:
 
     Secrets are ``random_strings`` times four strings drawn from a keyed hash in the usual
     notations (hex, base64, base64url, upper-case keys). Ordinary identifiers are the words of
-    all documents outside base matches, and the seams between neighbours in snake, kebab and
-    camel case; what occurs once only weighs nothing and is left out.
+    all documents outside base matches, and the seams of snake, kebab and camel case that their
+    ends and beginnings make; what occurs once only weighs nothing and is left out.
     """
     spark = docs.sparkSession
     raw = F.sha2(F.concat_ws(":", F.lit(seed), F.col("id")), 512)
@@ -93,14 +93,11 @@ def labelled_samples(docs: DataFrame, *, text_col: str = "text", random_strings:
     # Base matches that are long enough hold token characters in a row; others are no secrets.
     bare = F.when(_may_assign(F.col("lower")), F.regexp_replace("t", ASSIGN, " ")).otherwise(F.col("t"))
     bare = texts.select(bare.alias("t")).select(F.when(F.contains("t", F.lit("AKIA")), F.regexp_replace("t", ACCESS_LONG, " ")).otherwise(F.col("t")).alias("t"))
-    words = bare.select(F.regexp_extract_all("t", F.lit(WORD), F.lit(0)).alias("w"))
-    # A seam is the last character of a word and the first two of the next, behind a mark that no word holds.
-    seams = F.zip_with("w", F.slice("w", F.lit(2), F.greatest(F.size("w"), F.lit(1))), lambda a, b: F.concat(F.lit("~"), F.right(a, F.lit(1)), F.left(b, F.lit(2))))
-    found = words.select(F.explode(F.concat("w", seams)).alias("token")).where("token is not null")
-    counted = found.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").withColumn("weight", F.floor(F.log2("n")).cast("long"))
-    last, first, second = F.substring("token", 2, 1), F.substring("token", 3, 1), F.substring("token", 4, 1)
-    forms = F.array(F.concat(last, F.lit("_"), first), F.concat(last, F.lit("-"), first), F.concat(last, F.upper(first), second))
-    ordinary = counted.select(F.explode(F.when(F.startswith("token", F.lit("~")), forms).otherwise(F.array("token"))).alias("token"), F.lit(False).alias("secret"), "weight")
+    words = bare.select(F.explode(F.regexp_extract_all("t", F.lit(WORD), F.lit(0))).alias("token"))
+    counted = words.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").withColumn("weight", F.floor(F.log2("n")).cast("long"))
+    last, first, second = F.right("token", F.lit(1)), F.substring("token", 1, 1), F.substring("token", 2, 1)
+    forms = F.array(F.col("token"), F.concat(last, F.lit("_"), first), F.concat(last, F.lit("-"), first), F.concat(last, F.upper(first), second))
+    ordinary = counted.select(F.explode(forms).alias("token"), F.lit(False).alias("secret"), "weight")
     return random.unionByName(ordinary)
 
 
