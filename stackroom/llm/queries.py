@@ -59,14 +59,33 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(dealt(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
-_ALL = (op1_line_dedup, op2_mix_sources, op3_language_id, op4_best_fit_packing, op5_embedding_near_dedup, op6_quality_rules, op7_warc, op8_secret_scan, op9_substring_dedup, op10_minhash_near_dedup)
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of the mix that no selection decides."""
+    return mixing.mix_single(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", F.round("target", 4).alias("target"))
+
+
+def quality_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base rules alone."""
+    return quality.score(dealt(table(spark, sf_dir, "documents").select("doc_id", "text")), None).drop("probability")
+
+
+def secret_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base patterns alone."""
+    return secrets.report(secrets.scan(dealt(table(spark, sf_dir, "documents").select("doc_id", "text")), None)).drop("spans")
+
+
+_ALL = (op1_line_dedup, op2_mix_sources, op3_language_id, op4_best_fit_packing, op5_embedding_near_dedup, op6_quality_rules, op7_warc, op8_secret_scan, op9_substring_dedup, op10_minhash_near_dedup, mix_targets, quality_measures, secret_base_spans)
 QUERIES = {f.__name__: f for f in _ALL}
 
 _WORDS = "list_filter(string_split_regex(coalesce({0}, ''), '[ \t\n\x0B\f\r]+'), lambda x: x <> '')"
 _REACH = """sym AS (SELECT a, b FROM link UNION SELECT b, a FROM link), reach(a, b) AS (SELECT a, b FROM sym UNION SELECT r.a, s.b FROM reach r JOIN sym s ON s.a = r.b), comp AS (SELECT a AS node, least(a, min(b)) AS root FROM reach GROUP BY a)"""
 
+_SPANS = "(SELECT doc_id, '{0}' AS kind, {1} AS k, list_sum([length(x) FOR x IN p[1:i]] || [length(x) FOR x IN m[1:i-1]])::BIGINT AS s, m[i] AS hit FROM (SELECT doc_id, p, m, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, string_split_regex(t, '{2}') AS p, regexp_extract_all(t, '{2}') AS m FROM d)))"
+_ASSIGN = secrets.ASSIGN.replace("'", "''")
+
 #: SQL for the operators that it can express. Models (op3, op6, op8), seeded selection (op2) and
-#: greedy packing (op4) have none; tests hold them against plain versions.
+#: greedy packing (op4) have none; tests hold them against plain versions, and queries of their
+#: plain columns (mix_targets, quality_measures, secret_base_spans) against SQL.
 ORACLE: dict[str, str] = {
     "op1_line_dedup": r"""WITH ln AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS l, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents WHERE text IS NOT NULL),
  big AS (SELECT doc_id, i, l, length(l) AS n FROM ln WHERE length(l) >= 24 OR regexp_matches(l, '[^ \t\n\x0B\f\r]')),
@@ -90,4 +109,16 @@ ORACLE: dict[str, str] = {
  s AS (SELECT DISTINCT doc_id, array_to_string(w[p:p+4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS p FROM d WHERE len(w) > 0)), c AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
  pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2), link AS (SELECT a, b FROM pairs JOIN c p ON p.doc_id = a JOIN c q ON q.doc_id = b WHERE 100 * k >= 75 * (p.n + q.n - k)), {_REACH}
  SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(root, d.doc_id) AS component_id, d.doc_id = coalesce(root, d.doc_id) AS kept FROM d LEFT JOIN c USING (doc_id) LEFT JOIN comp ON node = d.doc_id""",
+    "mix_targets": f"""WITH RECURSIVE d AS (SELECT doc_id, source, len({_WORDS.format('text')})::BIGINT AS size FROM documents), per AS (SELECT source, sum(size)::BIGINT AS n FROM d GROUP BY source),
+ s AS (SELECT list(source ORDER BY source NULLS LAST) AS names, list(n ORDER BY source NULLS LAST) AS n, [[3, 1, 2][i % 3 + 1] FOR i IN range(0, count(*))] AS w, 1.5 * sum(n) AS total FROM per),
+ fill AS (SELECT [0.0::DOUBLE FOR x IN n] AS out, [x > 0 FOR x IN n] AS open, false AS done FROM s UNION ALL
+  SELECT CASE WHEN list_bool_or(over) THEN [CASE WHEN over[i] THEN 2.0 * n[i] ELSE out[i] END FOR i IN range(1, len(n) + 1)] ELSE [CASE WHEN open[i] THEN share[i] ELSE out[i] END FOR i IN range(1, len(n) + 1)] END, [open[i] AND NOT over[i] FOR i IN range(1, len(n) + 1)], NOT list_bool_or(over)
+  FROM (SELECT *, [open[i] AND share[i] > 2.0 * n[i] FOR i IN range(1, len(n) + 1)] AS over FROM (SELECT out, open, done, n, w, [(total - list_sum([CASE WHEN open[j] THEN 0.0 ELSE out[j] END FOR j IN range(1, len(n) + 1)])) * w[i] / list_sum([CASE WHEN open[j] THEN w[j] ELSE 0 END FOR j IN range(1, len(n) + 1)]) FOR i IN range(1, len(n) + 1)] AS share FROM fill, s WHERE NOT done AND list_bool_or(open))))
+ SELECT doc_id, size, p.n AS source_size, round((SELECT out FROM fill WHERE done)[list_position((SELECT [coalesce('s' || x, '-') FOR x IN names] FROM s), coalesce('s' || d.source, '-'))], 4) AS target FROM d JOIN per p ON p.source IS NOT DISTINCT FROM d.source""",
+    "quality_measures": f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {_WORDS.format('text')} AS w FROM documents), win AS (SELECT doc_id, p, array_to_string(w[p:p+2], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS p FROM d WHERE len(w) >= 3)),
+ rep AS (SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest(range(p, p + 3)) AS k FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, s) AS c FROM win) WHERE c > 1) GROUP BY doc_id),
+ m AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum([length(x) FOR x IN w]), 0)::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words FROM (SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ \t\n\x0B\f\r]')) AS l FROM d) d LEFT JOIN rep USING (doc_id))
+ SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS kept FROM m""",
+    "secret_base_spans": f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS (SELECT * FROM {_SPANS.format('assign', 0, _ASSIGN)} WHERE length(regexp_extract(hit, '{_ASSIGN}', 2)) >= 8 UNION ALL SELECT * FROM {_SPANS.format('access', 1, secrets.ACCESS)} WHERE length(hit) >= 16 UNION ALL SELECT * FROM {_SPANS.format('hex', 2, secrets.HEX)} WHERE length(hit) >= 32)
+ SELECT d.doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex, sha256(coalesce(string_agg(kind || ':' || s::VARCHAR || ':' || (s + length(hit))::VARCHAR, ',' ORDER BY s, k), '')) AS base_sha256 FROM d LEFT JOIN f USING (doc_id) GROUP BY d.doc_id""",
 }
