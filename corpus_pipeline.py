@@ -17,14 +17,19 @@ from stackroom.session import cut, ship, table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and the classifier, which is trained on the labelled ones among them."""
+    """Documents that pass the base rules and the classifier, which is trained on the labelled ones among them.
+
+    Null, empty and blank texts have too few words and go. Texts are judged whole, however long.
+    Repeated rows stay or go together; a null id is judged by its text like any other.
+    """
     return quality.keep_good(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that occur earlier; one that loses its last word goes.
 
-    Null, empty and very long texts, null and repeated ids: as :func:`linededup.dedup_lines` says.
+    Null, empty and very long texts, ties, null and repeated ids: as :func:`linededup.dedup_lines`
+    says. ``n_chars`` follows the text where lines went.
     """
     ship(spark)
     out = linededup.dedup_lines(docs)
@@ -35,23 +40,30 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that of the smallest id."""
+    """One document of each group of near copies, that of the smallest id.
+
+    Texts without words and rows of a null id stay. Rows that repeat a kept id all stay.
+    """
     ship(spark)
     gone = cut(minhash.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct(), "near")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: none, once or twice."""
+    """Documents as often as the mix takes them: none, once or twice.
+
+    Texts without words go. Rows that repeat an id (null ones too) are taken as often as the
+    first of them by rank.
+    """
     ship(spark)
-    taken = mixing.mix_single(docs).where("taken > 0").groupBy("doc_id").agg(F.max(F.col("taken") / F.col("size")).cast("int").alias("__times"))
-    taken = cut(taken, "taken").withColumnRenamed("doc_id", "__id")
-    wide = docs.join(taken, docs["doc_id"].eqNullSafe(taken["__id"]))
-    return wide.where(mixing.word_count("text") > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1), "__times"))).select(*docs.columns)
+    taken = mixing.mix_single(docs).where("taken > 0").groupBy(F.col("doc_id").alias("id")).agg(F.max(F.col("taken") / F.col("size")).cast("int").alias("times"))
+    rows = docs.select(F.col("doc_id").alias("own"), mixing.word_count("text").alias("words"), F.struct(*docs.columns).alias("row")).where("words > 0")
+    met = rows.join(cut(taken, "taken"), F.col("own").eqNullSafe(F.col("id")))
+    return met.select("row", F.explode(F.sequence(F.lit(1), "times"))).select("row.*")
 
 
 def pack_bins(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bins of the documents' words, each piece with its text."""
+    """Bins of the documents' words, each piece with its text; odd rows as :func:`packing.pack` says."""
     ship(spark)
     return packing.pack(docs, texts=True)
 

@@ -1,6 +1,7 @@
 """The pipeline against the plain versions of its stages."""
 
 import brute
+from pyspark.sql import functions as F
 from test_models import _check_bins
 
 import corpus_pipeline as CP
@@ -58,3 +59,22 @@ def test_empty_documents(spark):
     for _, stage in CP.STAGES:
         out = stage(spark, docs, SMALL)
         assert out.count() == 0
+
+
+def test_stages_take_odd_rows(spark):
+    """Null, empty, blank, repeated and very long rows, null ids, ties: every stage gives a result with the documents' columns."""
+    long_text = " ".join(f"w{i}" for i in range(30_000))
+    rows = [(1, None, "en", "a", 0), (2, "", "en", "a", 0), (3, " \n\t", None, None, 3), (4, long_text, "en", "a", len(long_text)), (5, long_text, "en", "b", len(long_text))]
+    rows += [(6, "twice the same line here, long enough\n" * 2 + " ".join(f"x{i}" for i in range(80)), "en", "b", 500)] * 2
+    rows += [(None, " ".join(f"y{i}" for i in range(90)), "fr", "a", 400), (None, " ".join(f"z{i}" for i in range(90)), "fr", None, 400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in CP.STAGES:
+        out = stage(spark, docs, SMALL)
+        n = out.count()
+        assert n > 0, name
+        if name != "packing":
+            assert out.columns == docs.columns
+    near = {r["doc_id"] for r in CP.one_of_each(spark, docs, SMALL).collect()}
+    assert near == {1, 2, 3, 4, 6, None}
+    mixed = CP.mix_sources(spark, docs.withColumn("__times", F.lit(9)).withColumn("own", F.lit("mine")), SMALL)
+    assert {r["own"] for r in mixed.collect()} == {"mine"} and not {1, 2, 3} & {r["doc_id"] for r in mixed.collect()}
