@@ -36,9 +36,29 @@ VISION_CATEGORIES = (
     ("Image/Documents", ("text", "document", "paper")),
 )
 MAX_CATEGORIES, MAX_REASONS, MAX_DESCRIPTION = 12, 16, 2000
+# Words of course sites and of assignments.
+LMS_NAMES = ("blackboard", "moodle", "instructure")
+LMS_SHARED_NAME = "canvas"
+LMS_CONTEXT = ("course", "module", "assignment", "instructure")
+ASSIGNMENT_WORDS = ("worksheet", "assignment", "homework")
 # Fixed values of the screenshot assessment.
 SCREEN_RATIOS = (1.333, 1.5, 1.6, 1.667, 1.778, 1.8, 2.0, 2.167)
 UI_WORDS = ("settings", "search", "share", "menu", "home", "back", "notifications", "browser", "tab", "http", "www")
+SCREENSHOT_NAMES = ("screenshot", "screen shot", "screen-shot")
+DISPLAY_WORDS = ("screen", "display", "iphone", "ipad")
+SCREEN_LABELS = ("screen", "computer", "monitor")
+MAP_LABELS = ("map", "navigation")
+SCREENSHOT_REASONS = {
+    "name": "filename:screenshot",
+    "ratio": "dimensions:screen-ratio",
+    "display": "metadata:display",
+    "words": "content:ui-text",
+    "text": "content:ocr",
+    "label": "vision:screen-like",
+    "fallback": "fallback:reference",
+    "uncertain": "uncertain:review",
+    "none": "insufficient-screenshot-evidence",
+}
 SUBTYPES = (
     ("lms", ("blackboard", "canvas", "moodle", "course content", "discussion board")),
     ("code", ("public static void", "import ", "class ", "traceback", "exception", "github", "vscode", "terminal")),
@@ -59,6 +79,18 @@ MUSIC_AND_MEDIA = {
     "audio": ("mp3", "m4a", "wav", "aac", "flac", "ogg", "opus", "aiff", "caf"),
     "video": ("mp4", "mov", "m4v", "avi", "mkv", "webm"),
 }
+MUSIC_WORDS = ("music", "song", "album", "soundtrack")
+SPEECH_REASONS = {
+    "container": "probe:non-media-container",
+    "empty": "probe:empty",
+    "short": "probe:too-short",
+    "long": "probe:too-long",
+    "music": "probe:music-tag",
+    "media": "probe:av-duration",
+    "music-unknown": "probe:music-tag-no-duration",
+    "size": "probe:container-gate",
+    "unknown": "probe:unknown-container",
+}
 
 _STRINGS = "array<string>"
 
@@ -87,11 +119,11 @@ def code_project(path: Column) -> Column:
 
 
 def lms_context(text: Column) -> Column:
-    return holds(text, ("blackboard", "moodle", "instructure")) | (F.contains(text, F.lit("canvas")) & holds(text, ("course", "module", "assignment", "instructure")))
+    return holds(text, LMS_NAMES) | (F.contains(text, F.lit(LMS_SHARED_NAME)) & holds(text, LMS_CONTEXT))
 
 
 def assignment_word(text: Column) -> Column:
-    return holds(text, ("worksheet", "assignment", "homework"))
+    return holds(text, ASSIGNMENT_WORDS)
 
 
 def vision_category(label: Column) -> Column:
@@ -160,11 +192,12 @@ def contract_ok(file_id: Column, categories: Column, description: Column, reason
 
 def screenshot_subtype(text: Column, labels: Column) -> Column:
     out = reduce(lambda o, r: o.when(holds(text, r[1]), r[0]), SUBTYPES, F.when(F.lit(False), ""))
-    return out.when(F.exists(labels, lambda x: holds(x, ("map", "navigation"))), "map").otherwise("reference")
+    return out.when(F.exists(labels, lambda x: holds(x, MAP_LABELS)), "map").otherwise("reference")
 
 
 def assess_screenshot(filename: Column, width: Column, height: Column, properties: Column, ocr: Column, labels: Column) -> Column:
     """Struct ``(is_screenshot, subtype, confidence, reasons)`` from additive evidence."""
+    why = SCREENSHOT_REASONS
     name, text = F.lower(filename), F.lower(F.coalesce(ocr, F.lit("")))
     low = F.transform(F.coalesce(labels, _none()), F.lower)
     props = F.coalesce(properties, _none())
@@ -172,24 +205,24 @@ def assess_screenshot(filename: Column, width: Column, height: Column, propertie
     ratio = F.when(shorter > 0, longer / shorter).otherwise(0.0)
     hits = reduce(lambda a, b: a + b, (F.contains(text, F.lit(w)).cast("int") for w in UI_WORDS))
     evidence = [
-        (holds(name, ("screenshot", "screen shot", "screen-shot")), F.lit(0.20), "filename:screenshot"),
-        (width.isNotNull() & height.isNotNull() & _any(F.abs(ratio - r) < 0.035 for r in SCREEN_RATIOS) & (shorter >= 500), F.lit(0.35), "dimensions:screen-ratio"),
-        (width.isNotNull() & F.exists(props, lambda p: holds(p, ("screen", "display", "iphone", "ipad"))), F.lit(0.25), "metadata:display"),
-        (hits > 0, F.least(F.lit(0.30), 0.10 + hits * 0.04), "content:ui-text"),
-        (F.regexp_replace(text, r"\s", "") != "", F.lit(0.10), "content:ocr"),
-        (F.exists(low, lambda x: holds(x, ("screen", "computer", "monitor"))), F.lit(0.20), "vision:screen-like"),
+        (holds(name, SCREENSHOT_NAMES), F.lit(0.20), why["name"]),
+        (width.isNotNull() & height.isNotNull() & _any(F.abs(ratio - r) < 0.035 for r in SCREEN_RATIOS) & (shorter >= 500), F.lit(0.35), why["ratio"]),
+        (width.isNotNull() & F.exists(props, lambda p: holds(p, DISPLAY_WORDS)), F.lit(0.25), why["display"]),
+        (hits > 0, F.least(F.lit(0.30), 0.10 + hits * 0.04), why["words"]),
+        (F.regexp_replace(text, r"\s", "") != "", F.lit(0.10), why["text"]),
+        (F.exists(low, lambda x: holds(x, SCREEN_LABELS)), F.lit(0.20), why["label"]),
     ]
     score = reduce(lambda a, b: a + b, (F.when(F.coalesce(t, F.lit(False)), w).otherwise(0.0) for t, w, _ in evidence))
     reasons = F.array_compact(F.array(*(F.when(F.coalesce(t, F.lit(False)), F.lit(r)) for t, _, r in evidence)))
     subtype = screenshot_subtype(text, low)
     shot = F.round(score, 6) >= 0.40
     conf = F.least(F.lit(0.99), 0.35 + score * 0.60 + F.when(subtype == "reference", 0.0).otherwise(0.15))
-    extra = F.array_compact(F.array(F.when(subtype == "reference", F.lit("fallback:reference")), F.when(conf < 0.80, F.lit("uncertain:review"))))
+    extra = F.array_compact(F.array(F.when(subtype == "reference", F.lit(why["fallback"])), F.when(conf < 0.80, F.lit(why["uncertain"]))))
     return F.struct(
         shot.alias("is_screenshot"),
         F.when(shot, subtype).otherwise("unknown").alias("subtype"),
         F.when(shot, conf).otherwise(score).alias("confidence"),
-        F.when(shot, F.concat(reasons, extra)).when(F.size(reasons) == 0, F.array(F.lit("insufficient-screenshot-evidence"))).otherwise(reasons).alias("reasons"),
+        F.when(shot, F.concat(reasons, extra)).when(F.size(reasons) == 0, F.array(F.lit(why["none"]))).otherwise(reasons).alias("reasons"),
     )
 
 
@@ -233,24 +266,25 @@ def route_models(kind: Column, confidence: Column, native_ocr: Column, document_
     return F.array_compact(F.array(*(F.when(F.coalesce(t, F.lit(False)), F.lit(m)) for m, t in steps if m in available) or [F.lit(None).cast("string")]))
 
 
-def speech_gate(extension_: Column, magic: Column, tag: Column, duration: Column, size: Column, music: tuple[str, ...] = ("music", "song", "album", "soundtrack")) -> Column:
+def speech_gate(extension_: Column, magic: Column, tag: Column, duration: Column, size: Column, music: tuple[str, ...] = MUSIC_WORDS) -> Column:
     """Struct ``(transcribe, reason)`` of the media gate; ``magic`` says whether the bytes look like audio."""
+    why = SPEECH_REASONS
     ext = F.lower(F.coalesce(extension_, F.lit("")))
     media = ext.isin(*MUSIC_AND_MEDIA["audio"], *MUSIC_AND_MEDIA["video"]) | F.coalesce(magic, F.lit(False))
     tagged = holds(F.lower(F.coalesce(tag, F.lit(""))), music)
     known = F.coalesce(duration > 0, F.lit(False))
     reason = (
-        F.when(~media, "probe:non-media-container")
-        .when(~known & (size == 0), "probe:empty")
-        .when(known & (duration < 1), "probe:too-short")
-        .when(known & (duration > 7200), "probe:too-long")
-        .when(known & tagged, "probe:music-tag")
-        .when(known, "probe:av-duration")
-        .when(tagged, "probe:music-tag-no-duration")
-        .when(size >= 1024, "probe:container-gate")
-        .otherwise("probe:unknown-container")
+        F.when(~media, why["container"])
+        .when(~known & (size == 0), why["empty"])
+        .when(known & (duration < 1), why["short"])
+        .when(known & (duration > 7200), why["long"])
+        .when(known & tagged, why["music"])
+        .when(known, why["media"])
+        .when(tagged, why["music-unknown"])
+        .when(size >= 1024, why["size"])
+        .otherwise(why["unknown"])
     )
-    return F.struct(reason.isin("probe:av-duration", "probe:container-gate").alias("transcribe"), reason.alias("reason"))
+    return F.struct(reason.isin(why["media"], why["size"]).alias("transcribe"), reason.alias("reason"))
 
 
 def looks_like_audio(content: Column) -> Column:

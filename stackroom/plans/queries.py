@@ -505,11 +505,14 @@ def clusters_page(spark, sf):
     return U.clusters_page(_families(spark, sf), cursor="4", limit=20).select("id", "relation", F.size("members").alias("members"))
 
 
-@query("hashes vectors classifications", "SELECT f.file_id AS id, h.sha256 AS exact_hash, coalesce(m.models, 0)::int AS models, coalesce(c.confidence, 0) AS confidence FROM files f LEFT JOIN hashes h USING (file_id) LEFT JOIN (SELECT file_id, count(*) AS models FROM vectors GROUP BY 1) m USING (file_id) LEFT JOIN classifications c ON c.file_id=f.file_id WHERE f.status='indexed'")
+@query("hashes vectors classifications", "SELECT f.file_id AS id, h.sha256 AS exact_hash, coalesce(v.model, '') AS models, coalesce(round(v.vector[1]::double, 6), 0) AS first, coalesce(array_to_string([floor(x*2)::int FOR x IN v.vector], ','), '') AS feature, coalesce(c.confidence, 0) AS confidence FROM files f LEFT JOIN hashes h USING (file_id) LEFT JOIN vectors v ON v.file_id=f.file_id LEFT JOIN classifications c ON c.file_id=f.file_id WHERE f.status='indexed'")
 def wide_nodes(spark, sf):
-    features = W.vectors(spark, sf).select("file_id", F.lit(None).cast("array<int>").alias("feature"))
-    n = C.wide_nodes(W.files(spark, sf), W.hashes(spark, sf), features, W.vectors(spark, sf), W.classifications(spark, sf))
-    return n.select("id", "exact_hash", F.coalesce(F.size(F.map_keys("embeddings")), F.lit(0)).alias("models"), "confidence").withColumn("models", F.greatest("models", F.lit(0)))
+    v = W.vectors(spark, sf)
+    features = v.select("file_id", F.transform("vector", lambda x: F.floor(x * 2).cast("int")).alias("feature"))
+    n = C.wide_nodes(W.files(spark, sf), W.hashes(spark, sf), features, v, W.classifications(spark, sf))
+    names = F.map_keys("embeddings")
+    first = F.get(F.get(F.map_values("embeddings"), 0), 0).cast("double")
+    return n.select("id", "exact_hash", F.coalesce(joined(names), F.lit("")).alias("models"), F.coalesce(F.round(first, 6), F.lit(0.0)).alias("first"), F.coalesce(joined(F.transform("feature", lambda x: x.cast("string"))), F.lit("")).alias("feature"), "confidence")
 
 
 def _graph(spark, sf):

@@ -19,8 +19,10 @@ from stackroom.plans.registry import query
 from stackroom.schemas import DDL
 from stackroom.session import scratch_path, table
 from stackroom.sources import files as SF
+from stackroom.sources import pdf as PDF
 from stackroom.sources import providers as V1
 from stackroom.sources import tables as ST
+from stackroom.streaming import live as Y
 
 c = F.col
 _RULE_DDL = "id long, pattern_type string, pattern string, target_category string, enabled boolean"
@@ -103,6 +105,13 @@ def complete_snapshots(spark, sf):
     return SF.complete(W.files(spark, sf).withColumn("length", c("size")), 2000).select("path")
 
 
+@query("files", "SELECT path, CASE WHEN listed > 2000 THEN 'too-large' WHEN content IS NULL THEN 'unread' WHEN strlen(content) <> listed THEN 'changed' ELSE 'complete' END AS state FROM (SELECT *, size + CASE WHEN doc_id % 10 = 0 THEN 1 ELSE 0 END AS listed FROM files)")
+def snapshot_states(spark, sf):
+    """Every tenth file grew since it was listed."""
+    listed = W.files(spark, sf, True).withColumn("length", c("size") + F.when(c("doc_id") % 10 == 0, 1).otherwise(0)).withColumn("content", c("content").cast("binary"))
+    return SF.snapshot_states(listed, 2000)
+
+
 @query(None, "SELECT 8 AS generation, 1 AS wrapped")
 def scan_generation(spark, sf):
     meta = spark.createDataFrame([("root_scan_counter", "7")], "k string, v string")
@@ -356,6 +365,25 @@ def zip_members(spark, sf):
     return SF.zip_members(files).select("path", F.array_join("members", ",").alias("members"))
 
 
+@query(None, "SELECT p_partkey::varchar AS path, 2 AS pages, p_name || ' (part)' || chr(10) || p_partkey::varchar AS text FROM part")
+def pdf_texts(spark, sf):
+    """Parts as PDF files of two pages: the name as a literal string, the key in hexadecimal."""
+    name = F.concat(F.lit("BT /F1 12 Tf 72 720 Td ("), F.regexp_replace("p_name", r"([()\\\\])", r"\\\\$1"), F.lit(r" \(part\)) Tj ET"))
+    key = F.concat(F.lit("BT <"), F.hex(F.encode(c("p_partkey").cast("string"), "US-ASCII")), F.lit("> Tj ET"))
+    stream = lambda n, body: F.concat(F.lit(f"{n} 0 obj << /Length "), F.length(body).cast("string"), F.lit(" >>\nstream\n"), body, F.lit("\nendstream endobj\n"))
+    page = lambda n, content: f"{n} 0 obj << /Type /Page /Parent 2 0 R /Contents {content} 0 R >> endobj\n"
+    head = "%PDF-1.4\n1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj\n2 0 obj << /Type /Pages /Kids [4 0 R 3 0 R] /Count 2 >> endobj\n" + page(3, 5) + page(4, 6)
+    whole = F.concat(F.lit(head), stream(5, key), stream(6, name), F.lit("trailer << /Root 1 0 R >>\n%%EOF"))
+    return PDF.pdf_texts(table(spark, sf, "part").select(c("p_partkey").cast("string").alias("path"), F.encode(whole, "ISO-8859-1").alias("content")))
+
+
+@query("live", "SELECT 'rescan' AS kind, 9 AS event_id")
+def wake_rescan(spark, sf):
+    """Work after a wake: one scan, whatever else came."""
+    some = W.events(spark, sf).where("event_id < 9").select("path", "flags", c("event_id").cast("long").alias("event_id"), "ts")
+    return Y.coalesce(some.unionByName(Y.wake(spark, 50.0, 9))).select("kind", c("event_id").cast("int").alias("event_id"))
+
+
 @query("files", r"SELECT file_id, 'hashing' AS model, 64 AS dim FROM files WHERE content IS NOT NULL AND regexp_matches(content, '\S')")
 def embedded_texts(spark, sf):
     """Texts through the stand-in for an embedding model, which gives unit vectors."""

@@ -60,6 +60,13 @@ def complete(files: DataFrame, cap: int = SNAPSHOT_LIMIT) -> DataFrame:
     return files.where(F.col("length") <= cap)
 
 
+def snapshot_states(files: DataFrame, cap: int = SNAPSHOT_LIMIT) -> DataFrame:
+    """``(path, state)`` of whole-file reads: ``complete``, ``too-large``, ``changed`` (the bytes read are not as many as listed) or ``unread``."""
+    read = F.octet_length("content")
+    state = F.when(F.col("length") > cap, "too-large").when(read.isNull(), "unread").when(read != F.col("length"), "changed").otherwise("complete")
+    return files.select("path", state.alias("state"))
+
+
 def text_sample(content: Column) -> Column:
     """First 64 KiB as UTF-8, else Latin-1; first 8000 characters."""
     part = F.substring(content, 1, TEXT_BYTES)
