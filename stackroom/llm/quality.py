@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from stackroom.llm import kernels as K
 from stackroom.llm.sampling import sample_by_class
 
+#: A power of two.
 DIMS = 1 << 15
 DENSE = 8
 PER_CLASS = 1500
@@ -60,8 +61,10 @@ def features(text: bytes | None, dims: int = DIMS) -> tuple[tuple[int, int, int,
     """Base measures, hashed dimensions (distinct) and their weights, dense ones last."""
     base, h, bytes_ = measures(text)
     text = text or b""
-    parts = [(h >> np.uint64(20)).astype(np.int64) % dims, (K.rolling(h, 2) >> np.uint64(20)).astype(np.int64) % dims]
-    acc = np.zeros(dims, np.int64)
+    # A power of two: its remainder is a mask.
+    low, low64 = np.uint32(dims - 1), np.uint64(dims - 1)
+    parts = [(x >> np.uint64(20) & low64).astype(np.uint32) for x in (h, K.rolling(h, 2))]
+    acc = None
     for at in range(0, max(1, len(text)), PIECE):
         # Pieces overlap by three bytes; an n-gram counts in the piece it starts in.
         x = np.frombuffer(text[at : at + PIECE + 3], np.uint8).astype(np.uint32)
@@ -70,11 +73,11 @@ def features(text: bytes | None, dims: int = DIMS) -> tuple[tuple[int, int, int,
             if len(run) < 2:
                 break
             run = run[:-1] * np.uint32(0x01000193) + x[n - 1 :]
-            parts.append((((run[:PIECE] ^ np.uint32(n * 0x9E3779B1 & 0xFFFFFFFF)) * np.uint32(0x85EBCA6B)) >> np.uint32(12)) % np.uint32(dims))
-        if parts:
-            acc += np.bincount(np.concatenate(parts), minlength=dims)
+            parts.append((((run[:PIECE] ^ np.uint32(n * 0x9E3779B1 & 0xFFFFFFFF)) * np.uint32(0x85EBCA6B)) >> np.uint32(12)) & low)
+        own = np.bincount(np.concatenate(parts), minlength=dims) if parts else 0
+        acc = own if acc is None else acc + own
         parts = []
-    at = np.nonzero(acc)[0]
+    at = np.flatnonzero(acc != 0)
     w = np.log1p(acc[at])
     norm = np.sqrt((w * w).sum())
     w = w / norm if norm else w
