@@ -2,7 +2,7 @@
 
 The gate sees paths, sizes and times; contents are read only for rows that pass it, and only
 what is derived from them (digest, text sample) is kept or shuffled. The result is a dictionary
-of the tables that change; :func:`stackroom.sources.tables.commit` writes them at once.
+of changes; :func:`stackroom.sources.tables.commit` writes their rows at once, not whole tables.
 """
 
 from __future__ import annotations
@@ -26,8 +26,8 @@ from stackroom.sources.files import text_sample
 EXTRACTED = 200_000
 
 
-def index_root(scanned: DataFrame, catalog: dict[str, DataFrame], root: str, *, version: str = "v1", now: float = 0.0, complete: bool = True, excluded: list[str] = (), unreadable: list[str] = (), sweep: bool = True) -> dict[str, DataFrame]:
-    """The tables of a catalogue that a scan ``(path, size, mtime, content)`` of ``root`` changes.
+def index_changes(scanned: DataFrame, catalog: dict[str, DataFrame], root: str, *, version: str = "v1", now: float = 0.0, complete: bool = True, excluded: list[str] = (), unreadable: list[str] = (), sweep: bool = True) -> dict[str, ST.Change]:
+    """What a scan ``(path, size, mtime, content)`` of ``root`` changes in a catalogue's tables.
 
     ``catalog`` holds ``files``, ``text_content``, ``classifications``, ``exact_hashes``,
     ``review_inbox``, ``learned_rules`` and ``category_overrides`` (empty ones will do). An
@@ -35,19 +35,28 @@ def index_root(scanned: DataFrame, catalog: dict[str, DataFrame], root: str, *,
     """
     slim = scanned.select("path", "size", "mtime")
     todo = cut(I.needs_processing(slim, catalog["files"], version).withColumn("one", F.lit(1)), "todo")
-    files, out = catalog["files"], {}
-    if not todo.isEmpty():
-        out = _indexed(scanned, todo, catalog, version, now)
-        files = out["files"]
+    out = {} if todo.isEmpty() else _indexed(scanned, todo, catalog, version, now)
     if sweep and complete:
-        gone = cut(I.swept(files, slim.select("path"), root, excluded=list(excluded), unreadable=list(unreadable)), "gone")
+        gone = _gone(catalog["files"], slim, root, excluded, unreadable)
         if not gone.isEmpty():
-            out["files"] = I.mark_missing(files, gone)
+            rows = gone if "files" not in out else out["files"].rows.unionByName(gone, allowMissingColumns=True)
+            out["files"] = ST.Change(rows)
     return out
 
 
-def _indexed(scanned: DataFrame, todo: DataFrame, catalog: dict[str, DataFrame], version: str, now: float) -> dict[str, DataFrame]:
-    """The tables after the rows that passed the gate are extracted and classified."""
+def _gone(files: DataFrame, scanned: DataFrame, root: str, excluded: list[str], unreadable: list[str]) -> DataFrame:
+    """Rows of files that a complete scan did not find, as missing ones."""
+    paths = I.swept(files, scanned.select("path"), root, excluded=list(excluded), unreadable=list(unreadable))
+    return cut(files.join(paths, "path", "left_semi").withColumn("status", F.lit("missing")), "gone")
+
+
+def index_root(scanned: DataFrame, catalog: dict[str, DataFrame], root: str, **options) -> dict[str, DataFrame]:
+    """The tables that :func:`index_changes` changes, as they are afterwards."""
+    return {name: change.over(catalog[name]) for name, change in index_changes(scanned, catalog, root, **options).items()}
+
+
+def _indexed(scanned: DataFrame, todo: DataFrame, catalog: dict[str, DataFrame], version: str, now: float) -> dict[str, ST.Change]:
+    """The changes of the rows that passed the gate, extracted and classified."""
     with bloom_joins(scanned.sparkSession):
         body = F.when(F.col("kind") == "text", text_sample(F.col("content")))
         read = scanned.select("path", "content").join(todo.where("one = 1").drop("one"), "path").withColumn("kind", P.kind(F.col("path")))
@@ -55,25 +64,24 @@ def _indexed(scanned: DataFrame, todo: DataFrame, catalog: dict[str, DataFrame],
 
     seen_before = catalog["files"].select("file_id", "first_seen")
     entry = read.join(seen_before, "file_id", "left").select("file_id", "path", "size", "mtime", "kind", F.lit(False).alias("is_symlink"), F.lit("indexed").alias("status"), F.coalesce("first_seen", F.lit(now)).alias("first_seen"), F.lit(now).alias("last_indexed"), F.lit(version).alias("last_extractor"))
-    files = ST.upsert(catalog["files"], conform(entry, "files"), ["file_id"])
 
     texts = read.select("file_id", "body", F.lit("text").alias("extractor"), F.lit(now).alias("created")).where("trim(body) <> ''")
-    text_content = ST.replace_per_key(catalog["text_content"], conform(texts, "text_content"), ["file_id"], touched=read)
-
     hashes = read.select("file_id", F.col("bytes").alias("size"), "sha256")
-    exact_hashes = ST.upsert(catalog["exact_hashes"], conform(hashes, "exact_hashes"), ["file_id"])
-
     k = L.classify(F.col("path"), F.col("kind"), F.col("body"), size_class=P.size_class(F.col("size")))
     first = read.select("file_id", "path", k.alias("k"), F.concat_ws(" ", "kind", P.size_class(F.col("size"))).alias("evidence")).select("file_id", "path", "evidence", F.col("k.categories").alias("base_categories"), F.col("k.confidence").alias("confidence"), F.col("k.reasons").alias("base_reasons"))
     learned = R.enrich(first.withColumn("categories", F.col("base_categories")), catalog["learned_rules"])
     final = R.apply_overrides(learned, catalog["category_overrides"])
     rows = first.drop("path", "evidence").join(final, "file_id").select("file_id", "categories", "base_categories", F.lit("").alias("description"), "confidence", F.slice(F.concat("base_reasons", "reasons"), 1, L.MAX_REASONS).alias("reason_codes"), F.lit("rules").alias("classifier"), F.lit(now).alias("created"))
     sound = rows.where(L.contract_ok(F.col("file_id"), F.col("categories"), F.col("description"), F.col("reason_codes"), F.col("confidence")))
-    classifications = ST.upsert(catalog["classifications"], conform(sound, "classifications"), ["file_id"])
-
+    sound = cut(conform(sound, "classifications"), "classified")
     fresh = U.review_inbox(sound, now).withColumn("created", F.lit(now))
-    review = ST.upsert(catalog["review_inbox"], conform(fresh, "review_inbox"), ["file_id"])
-    return {"files": files, "text_content": text_content, "exact_hashes": exact_hashes, "classifications": classifications, "review_inbox": review}
+    return {
+        "files": ST.Change(conform(entry, "files")),
+        "text_content": ST.Change(conform(texts, "text_content"), touched=read),
+        "exact_hashes": ST.Change(conform(hashes, "exact_hashes")),
+        "classifications": ST.Change(sound),
+        "review_inbox": ST.Change(conform(fresh, "review_inbox")),
+    }
 
 
 CATALOG = ("files", "text_content", "classifications", "exact_hashes", "review_inbox", "learned_rules", "category_overrides")
@@ -105,7 +113,7 @@ def scan_session(scanned: DataFrame, store: str, root: str, *, batches: int = 1,
         if state != RUN:
             break
         part = scanned if batches == 1 else scanned.where(F.pmod(F.xxhash64("path"), F.lit(batches)) == b)
-        changed = index_root(part, catalog_of(spark, store), root, version=version, now=now, sweep=False)
+        changed = index_changes(part, catalog_of(spark, store), root, version=version, now=now, sweep=False)
         if changed:
             ST.commit(spark, store, changed)
         done += 1
@@ -113,10 +121,10 @@ def scan_session(scanned: DataFrame, store: str, root: str, *, batches: int = 1,
     completion = "rootUnavailable" if not available else "paused" if state == PAUSE else "cancelled" if state != RUN else "completed" if complete else "limited"
     missing, tables = 0, {}
     if completion == "completed":
-        gone = cut(I.swept(files, scanned.select("path"), root, excluded=list(excluded), unreadable=list(unreadable)), "gone")
+        gone = _gone(files, scanned, root, excluded, unreadable)
         missing = gone.count()
         if missing:
-            tables["files"] = I.mark_missing(files, gone)
+            tables["files"] = ST.Change(gone)
     own = files.where(P.under(F.col("path"), root) & (F.col("last_indexed") == now)).select("path").join(scanned.select("path"), "path", "left_semi")
     counts = scanned.agg(F.count("*").alias("scanned")).crossJoin(own.agg(F.count("*").alias("processed")))  # one row each
     row = cut(counts.select(F.lit(generation).alias("generation"), F.lit(root).alias("root"), F.lit(completion).alias("completion"), "scanned", "processed", F.lit(missing).cast("long").alias("missing"), F.lit(done).alias("batches")), "session")

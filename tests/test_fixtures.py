@@ -370,6 +370,20 @@ def test_commits_are_all_or_nothing(spark, tmp_path, monkeypatch):
 
 
 
+def test_changes_are_merged(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ST, "MAX_CHANGES", 3)
+    store = str(tmp_path / "store")
+    rows = lambda *x: spark.createDataFrame(list(x), "file_id string, n int")
+    want: dict = {}
+    steps = [({"a": 1, "b": 1}, ()), ({"b": 2, "c": 2}, ()), ({"d": 3}, ("a",)), ({"a": 4}, ("d",)), ({"c": 5}, ()), ({"e": 6}, ("b",)), ({"b": 7, "e": 7}, ())]
+    for new, gone in steps:
+        touched = spark.createDataFrame([(k,) for k in [*new, *gone]], "file_id string") if gone else None
+        ST.commit(spark, store, {"t": ST.Change(rows(*new.items()), touched=touched)})
+        want = {k: v for k, v in want.items() if k not in gone} | new
+        assert {r["file_id"]: r["n"] for r in ST.load(spark, store, "t").collect()} == want
+        assert len(ST.manifest(spark, store)[1]["t"]) <= 5
+
+
 def test_providers(spark):
     rows = spark.createDataFrame([("a", "one two"), ("b", ""), ("c", None)], "file_id string, text string")
     got = PR.embed_rows(rows, PR.make_provider("hashing")).collect()
