@@ -9,14 +9,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+from pyspark.sql.window import Window
 
 from stackroom.functions.paths import live_excluded
+from stackroom.session import cut
 
 # Bits of an event that mean events were lost.
 MUST_SCAN, USER_DROPPED, KERNEL_DROPPED, HISTORY_DONE, ROOT_CHANGED = 1, 2, 4, 16, 32
 DROPPED = MUST_SCAN | USER_DROPPED | KERNEL_DROPPED | HISTORY_DONE | ROOT_CHANGED
 MAX_PENDING, MAX_BATCH, DEBOUNCE = 4096, 2000, "800 milliseconds"
 RESCAN = "rescan"
+SPAN = 4096  # pieces of time in a task of the batch form of debounced
 
 
 def dropped(flags: Column) -> Column:
@@ -38,18 +41,49 @@ def relevant(events: DataFrame, roots: list[str], excluded: list[str]) -> DataFr
 
 
 def debounced(events: DataFrame, gap: str = DEBOUNCE, watermark: str | None = None) -> DataFrame:
-    """Bursts: a session window over all paths, which a pause of ``gap`` closes.
+    """Bursts: a session over all paths, which a pause of ``gap`` closes.
 
-    ``(start, end, events, paths, dropped)``. The key is constant because any event re-arms the
-    timer; the aggregate is partial before the shuffle, so a burst costs one row a task. Paths are
-    counted exactly, by eight bytes each.
+    ``(start, end, events, paths, dropped)``. Of a stream this is a session window, whose key is
+    constant because any event re-arms the timer; its paths are counted by eight bytes each. Of a
+    table it is aggregates and joins on pieces of time, so that no task has to see all events.
     """
+    if not events.isStreaming:
+        return _bursts(events, gap)
     src = events.withWatermark("ts", watermark) if watermark else events
     one = F.substring("path", 1, 0)  # a constant that the optimiser keeps: streaming sessions need a key
     w = src.groupBy(one.alias("all"), F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("events"), F.size(F.collect_set(F.xxhash64("path"))).alias("paths"), F.bool_or(dropped(F.col("flags"))).alias("dropped"))
     return w.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "events", "paths", "dropped")
 
 
+def _bursts(events: DataFrame, gap: str) -> DataFrame:
+    """:func:`debounced` of a table.
+
+    Events of one piece of time, as long as the gap, are of one burst, and a burst goes on into the
+    next piece alone. Where bursts begin is carried over ``SPAN`` pieces in a task, and from span
+    to span by one row a span.
+    """
+    spark = events.sparkSession
+    width = spark.sql(f"SELECT unix_micros(timestamp_micros(0) + INTERVAL '{gap}') AS w").first()["w"]
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    rows = events.where("ts is not null").select(at.alias("at"), "path", dropped(F.col("flags")).alias("lost"))
+    rows = rows.select("at", F.expr(f"(at - pmod(at, {width}L)) div {width}L").alias("piece"), "path", "lost")
+    seen = cut(rows.groupBy("piece", "path").agg(F.count("*").alias("n"), F.min("at").alias("low"), F.max("at").alias("high"), F.bool_or("lost").alias("lost")), "seen")
+    pieces = seen.groupBy("piece").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.bool_or("lost").alias("lost"))
+    both = pieces.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("on"))  # each piece for itself and as what the next one follows
+    own = lambda name: F.max(F.when(F.col("on") == 0, F.col(name))).alias(name)
+    met = both.groupBy((F.col("piece") + F.col("on")).alias("piece")).agg(own("n"), own("low"), own("high"), own("lost"), F.max(F.when(F.col("on") == 1, F.col("high"))).alias("before")).where("n is not null")
+    begins = F.when(F.col("before").isNull() | (F.col("low") - F.col("before") >= width), F.col("low"))
+    local = Window.partitionBy("span").orderBy("piece")
+    known = cut(met.withColumn("span", F.expr(f"(piece - pmod(piece, {SPAN})) div {SPAN}")).withColumn("begun", F.max(begins).over(local)), "pieces")
+    carried = known.groupBy("span").agg(F.max("begun").alias("begun")).select("span", F.max("begun").over(Window.orderBy("span").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
+    placed = cut(known.join(carried, "span").select("piece", F.coalesce("begun", "carried").alias("begun"), "n", "high", "lost"), "placed")
+    paths = seen.where("path is not null").join(placed.select("piece", "begun"), "piece").select("begun", "path").distinct().groupBy("begun").agg(F.count("*").alias("paths"))
+    out = placed.groupBy("begun").agg(F.max("high").alias("high"), F.sum("n").alias("events"), F.bool_or("lost").alias("dropped")).join(paths, "begun", "left")
+    kind = dict(events.dtypes)["ts"]
+    time = lambda micros: F.timestamp_micros(micros).cast(kind)
+    return out.select(time(F.col("begun")).alias("start"), time(F.col("high") + width).alias("end"), "events", F.coalesce("paths", F.lit(0)).cast("int").alias("paths"), "dropped")
+
+
 def coalesce(batch: DataFrame, *, max_pending: int = MAX_PENDING, max_batch: int = MAX_BATCH, keys: tuple[str, ...] = ()) -> DataFrame:
     """One batch's work: ``(kind, path, flags, event_id)``.
 
